@@ -6,20 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinctive, topn
+from . import cooccurrence, distinctive, shared_spans, similar_sets, term_counts, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": similar_sets.p1_found,
         "p2_found": distinctive.p2_found,
         "p2_residuals": distinctive.p2_residuals,
+        "p3_found": term_counts.p3_found,
+        "p3_counts": term_counts.p3_counts,
         "p4_found": topn.p4_found,
+        "p5_found": cooccurrence.p5_found,
+        "p5_pairs": cooccurrence.p5_pairs,
+        "p6_found": shared_spans.p6_found,
+        "p6_coverage": shared_spans.p6_coverage,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": similar_sets.P1_SQL,
         "p2_found": distinctive.P2_SQL,
         "p2_residuals": distinctive.P2_RESIDUALS_SQL,
+        "p3_found": term_counts.P3_SQL,
+        "p3_counts": term_counts.P3_COUNTS_SQL,
         "p4_found": topn.P4_SQL,
+        "p5_found": cooccurrence.P5_SQL,
+        "p5_pairs": cooccurrence.P5_PAIRS_SQL,
+        "p6_found": shared_spans.P6_SQL,
+        "p6_coverage": shared_spans.P6_COVERAGE_SQL,
     }
