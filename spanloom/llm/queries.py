@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cooccurrence, distinctive, shared_spans, similar_sets, term_counts, topn
+from . import cooccurrence, distinctive, shared_spans, similar_sets, term_counts, tokenizer, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pairs": cooccurrence.p5_pairs,
         "p6_found": shared_spans.p6_found,
         "p6_coverage": shared_spans.p6_coverage,
+        "p7_ids": tokenizer.p7_ids,
+        "p7_roundtrip": tokenizer.p7_roundtrip,
     }
 
 

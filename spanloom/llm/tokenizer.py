@@ -278,6 +278,3 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = token_ids(documents)
     both = ids.select("doc_id", F.size("ids").alias("n_tokens")).join(decoded(ids), "doc_id").join(texts, "doc_id")
     return both.select("doc_id", "n_tokens", (F.col("text") == F.col("original")).alias("exact"))
-
-
-P7_ROUNDTRIP_SQL = None  # byte-pair merging can't be stated in SQL; tests hold it against the public library
