@@ -26,35 +26,20 @@ def term_margins(records: DataFrame) -> DataFrame:
 
 
 def record_terms(verses: DataFrame) -> DataFrame:
-    """(verse_id, version, tf, term, row_total): a row a term of a current verse, without a shuffle.
+    """(verse_id, version, row_total, term, tf): a row a term of a current verse.
 
-    tf is how often the term stands in the verse, counted by sorting the verse's own terms.
+    tf is how often the term stands in the verse. Current verses lie partitioned by verse_id, so the
+    count needs no shuffle.
     """
-    # runs of equal terms in the sorted list: a term's count is the distance of its run's ends
     return (
         verses.select(
             "verse_id",
             F.col("corpus_version_id").alias("version"),
             F.size("terms").alias("row_total"),
-            F.array_sort("terms").alias("sorted"),
-        )
-        .withColumn(
-            "starts",
-            F.filter(
-                F.sequence(F.lit(0), F.col("row_total")),
-                lambda i: (i == F.col("row_total")) | (i == 0)
-                | (F.get("sorted", i) != F.get("sorted", i - 1)),
-            ),
-        )
-        .select("verse_id", "version", "row_total", "sorted", "starts", F.posexplode("starts").alias("k", "start"))
-        .where(F.col("start") < F.col("row_total"))
-        .select(
-            "verse_id",
-            "version",
-            "row_total",
-            F.get("sorted", F.col("start")).alias("term"),
-            (F.get("starts", F.col("k") + 1) - F.col("start")).alias("tf"),
+            F.explode("terms").alias("term"),
         )
+        .groupBy("verse_id", "version", "row_total", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
@@ -115,7 +100,7 @@ def p2_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "verse_id",
         F.col("term").alias("normalized"),
-        F.col("tf").cast("bigint").alias("tf"),
+        "tf",
         F.col("df").alias("document_frequency"),
         F.round("idf", 6).alias("idf"),
         "score",
