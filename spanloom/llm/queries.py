@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cooccurrence, distinctive, shared_spans, similar_sets, term_counts, tokenizer, topn
+from . import cooccurrence, distinctive, packing, shared_spans, similar_sets, term_counts, tokenizer, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_coverage": shared_spans.p6_coverage,
         "p7_ids": tokenizer.p7_ids,
         "p7_roundtrip": tokenizer.p7_roundtrip,
+        "p8_containers": packing.p8_containers,
+        "p8_fill": packing.p8_fill,
     }
 
 

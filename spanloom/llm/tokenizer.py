@@ -26,8 +26,9 @@ from .common import read
 
 #: The public tokenizer's vocabulary, by its name in the package public_tokenizers.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces whose ids a task remembers, and states that its transducer keeps; beyond, they are made anew.
-PIECES, STATES = 1 << 18, 1 << 18
+#: Pieces whose ids a task remembers, states that its transducer keeps and pairs known to be valid or
+#: not; beyond, they are made anew.
+PIECES, STATES, VALID = 1 << 18, 1 << 17, 1 << 19
 #: Pieces of more characters aren't remembered.
 LONG = 64
 
@@ -70,6 +71,8 @@ class Vocabulary:
         key = a << 20 | b
         known = self.valid.get(key)
         if known is None:
+            if len(self.valid) >= VALID:
+                self.valid.clear()
             known = self.valid[key] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
