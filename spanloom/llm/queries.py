@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cooccurrence, distinctive, packing, shared_spans, similar_sets, term_counts, tokenizer, topn
+from . import cooccurrence, distinctive, packing, residue, shared_spans, similar_sets, term_counts, tokenizer, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_roundtrip": tokenizer.p7_roundtrip,
         "p8_containers": packing.p8_containers,
         "p8_fill": packing.p8_fill,
+        "p9_found": residue.p9_found,
+        "p9_residue": residue.p9_residue,
     }
 
 

@@ -1,0 +1,237 @@
+"""Template residue and error-page text: a multi-pattern automaton over whole texts.
+
+One automaton holds all phrases: messages of error pages and crashed programs, script notices and
+filler, in several languages, and the openings of template slots. A text without any of them, as
+almost all are, is done in one pass. In the others the hits are looked at: slots by the form of
+what they hold, filler words by runs of them, and nothing within quotation marks in prose, where
+such things are named rather than left over.
+
+A text counts by a single hit, however long it is: a document is wanted that holds residue
+anywhere. The share of the text that is covered by hits comes out beside it, for thresholds.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import read
+
+# Phrases in lower case, each enough by itself outside quotation marks.
+ERRORS = """
+404 not found|error 404|erreur 404|fehler 404|http error 4|http error 5|403 forbidden|401 unauthorized
+500 internal server error|internal server error|interner serverfehler|erreur interne du serveur|error interno del servidor
+502 bad gateway|504 gateway|gateway time-out|gateway timeout|error 503|503 service|service temporarily unavailable
+service unavailable|400 bad request|410 gone|page introuvable|página no encontrada|pagina no encontrada|seite nicht gefunden
+die angeforderte seite existiert nicht|page not found|was not found on this server|cannot get /|cannot post /
+nosuchkey|the specified key does not exist|you don't have permission to|you do not have permission to
+access denied. |too many requests|you have been rate limited|rate limit exceeded|request blocked. incident
+connection timed out|connection refused|connection reset by peer|error establishing a database connection
+fatal error:|uncaught exception|traceback (most recent call last)|typeerror:|cannot read propert|keyerror:|valueerror:
+attributeerror:|indexerror:|runtimeerror:|syntaxerror:|referenceerror:|nameerror:|zerodivisionerror:|nullpointerexception
+java.lang.|mysql_fetch|expects parameter 1 to be|segmentation fault|core dumped|stack overflow error|unhandled exception
+(engine.js:|file "render.py"|undefined index:|undefined variable|undefined offset|while loading the chapter list
+loading failed. retry|something went wrong on our side|oops! something went wrong|sorry, this page isn't working
+this page isn't working|this content is no longer available|under maintenance: |we'll be back shortly
+the server encountered an|we couldn't find that chapter|check the address and try again
+the page you were looking for doesn't exist|doesn't exist or has been moved|your session has expired|please sign in again to
+reference_not_found|"error":{"code"|bitte später erneut versuchen|veuillez réessayer plus tard|inténtelo de nuevo más tarde
+"""
+SCRIPTS = """
+javascript is required|requires javascript|enable javascript|javascript is disabled|javascript is turned off
+does not support javascript|doesn't support javascript|activer javascript|activez javascript|active javascript en su
+activar javascript|habilitar javascript|habilite javascript|benötigt javascript|erfordert javascript
+aktivieren sie javascript|javascript aktivieren|javascript est désactivé|javascript ist deaktiviert
+javascript está desactivado|nécessite javascript|requiere javascript|without active scripting|scripting is switched off
+enable scripts in your browser|enable scripting|works best with js|enable js and|<noscript|javascript must be enabled
+"""
+FILLER = """
+blindtext|platzhaltertext|hier steht später|texte provisoire|à remplacer par|texto de relleno|sustituir antes de publicar
+placeholder text|replace it before release|sample text. |dummy paragraph|dummy text|body copy goes here|heading level two
+your commentary text goes here|your text goes here|text goes here|type the passage here|click to edit this
+add your own content|add a short summary of the chapter|description coming soon|content coming soon|[text to follow]
+[text follows]|lorem ipsum|insert text here|texte à venir|texto pendiente|text folgt noch|faux texte
+asdf|qwer qwer|zxcv|foo bar|bar baz|baz foo|qux foo|blah blah blah|bla bla bla|test test test|abc abc abc|123 abc|aaaa bbbb
+"""
+#: Words of the customary filler: a run of RUN of them, with RARE or more that ordinary Latin hardly has.
+LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+LATIN_RARE = set("lorem ipsum amet consectetur adipiscing elit eiusmod incididunt aliqua minim nostrud ullamco laboris aliquip commodo irure reprehenderit cillum fugiat pariatur excepteur sint occaecat cupidatat proident culpa deserunt mollit laborum".split())
+RUN, RARE = 5, 3
+
+#: Where a slot can begin: what the automaton looks for before the forms are tried.
+OPENINGS = ["{", "<%", "<?", "${", "%(", "@@", "__", "[[", "%s", "[object", "undefined", "null null", "missing(", "tbd_", "[insert", "<insert", "[your", "goes here", "(todo", "todo:"]
+SIGNED = ["$", "%"]
+_NAME = r"[A-Za-z][\w.-]*"
+# The forms of slots, directives and failed substitutions.
+SLOTS = rf"""
+\{{\{{[^{{}}\n]{{1,100}}\}}\}}
+\{{%-?\s*\w+[^%\n]{{0,120}}%\}}
+<%[=-]?[^%\n]{{0,120}}%>
+<\?(?:=|php\b)[^?\n]{{0,120}}\?>
+[$#]\{{\s*{_NAME}\s*\}}
+%\({_NAME}\)[sdrif]
+%s\s+%d:%d
+%[A-Za-z][\w.-]{{1,60}}%
+\$[A-Za-z][\w.-]{{1,60}}\$
+@@[A-Za-z][\w.-]*@@
+(?<!\w)__[A-Za-z][\w.-]*?__(?!\w)
+\[\[\s*{_NAME}\s*\]\]
+\bMISSING\({_NAME}\)
+\bTBD_[A-Za-z][\w.-]*
+\[(?i:insert)\s[^\]\n]{{1,80}}\]
+<(?i:insert)\s[^>\n]{{1,80}}>
+\[(?i:your)\s[^\]\n]{{1,60}}\]
+\[[^\[\]\n]{{1,60}}\s(?i:goes\ here)\]
+\(TODO:?\s[^)\n]{{1,80}}\)
+\bTODO:\s
+\[object\ Object\]
+\bundefined\s+(?:\d+|NaN|undefined):(?:NaN|undefined)
+\bnull\s+null:null\b
+\{{\d\}}(?=\s*\{{\d\}}|:\{{\d\}})
+(?<![\w"{{$#]){{{_NAME[:-1]}+\}}(?!\}})
+"""
+PATTERNS = {
+    "slot": re.compile("|".join(f"(?:{x})" for x in SLOTS.strip().split("\n"))),
+    # the same word again and again, or words about words
+    "run": re.compile(r"(?<!\w)(?:(?:blah?|test|abc|asdf?|x{3,}|lorem)\b\W{1,3}){2,}(?:blah?|test|abc|asdf?|x{2,}|lorem)(?!\w)|(?<!\w)(?:(?:words?|lines?|some|more|text)[ \n]){4,}(?:words?|lines?|some|more|text)(?!\w)", re.I),
+}
+_MARKS = re.compile("“[^“”\n]{1,600}”|„[^„“”\n]{1,600}[“”]|«[^«»\n]{1,600}»")
+_STRAIGHT = re.compile(r'(?:(?<=\s)|(?<=\()|^)"(?:[{\[][^\n]{1,600}?"(?=$|\s|[.,;!?)](?:\s|$))|[^"\n]{1,600}"(?=$|[\s.,;:!?)]))', re.M)
+_WORD = re.compile(r"[^\W\d_]+")
+_DATA = re.compile(r'^(?:[\W_]*<[^<>]*>)?[^\w"]*[\[{]\s*"|^\s*File "')
+#: Characters that stray into words: they are passed over.
+STRAY = {ord(c): None for c in "­​‌‍⁠﻿️½²ﬁßİ\x0c"} | {0xA0: " "}
+_PICTURE = re.compile("[\U0001f000-\U0001faff☀-➿]")
+_SPLIT_BY_TAB = re.compile(r"(?<=[^\W\d_])\t(?=[^\W\d_])")
+
+
+def _phrases(text: str) -> list[str]:
+    return [p for line in text.strip().split("\n") for p in line.split("|")]
+
+
+def _unquoted(text: str) -> str:
+    """The text with what prose quotes blanked: spans between quotation marks that have words beside them.
+
+    Straight marks count in lines that aren't data (JSON and the like); places keep their numbers.
+    """
+
+    def blank(m: re.Match) -> str:
+        return " " * len(m[0])
+
+    if "“" in text or "„" in text or "«" in text:
+        text = "\n".join(_kept(line, _MARKS.sub(blank, line)) for line in text.split("\n"))
+    if '"' in text:
+        text = "\n".join(
+            line if '"' not in line or _DATA.search(line) else _kept(line, _STRAIGHT.sub(blank, line)) for line in text.split("\n")
+        )
+    return text
+
+
+def _kept(line: str, blanked: str) -> str:
+    """blanked, unless hardly a word is left: then the line is no prose about a quotation."""
+    return blanked if blanked is line or len(_WORD.findall(blanked)) >= 3 else line
+
+
+class Detector:
+    def __init__(self):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        kinds = {"error": _phrases(ERRORS), "script": _phrases(SCRIPTS), "filler": _phrases(FILLER), "slot": OPENINGS + SIGNED}
+        kinds["run"] = ["xxx", "bla ", "blah", "test test", "text text", "some text", "more words"]
+        kinds["latin"] = ["ipsum", "nostrud", "fugiat", "cillum", "mollit", "aliqua"]
+        for kind, phrases in kinds.items():
+            for p in phrases:
+                self.automaton.add_word(p, (kind, len(p)))
+        self.automaton.make_automaton()
+
+    def spans(self, text: str | None) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of the residue in a text without stray characters; places are those of that text."""
+        if not text:
+            return []
+        if not text.isascii():
+            text = _PICTURE.sub("", unicodedata.normalize("NFC", text).translate(STRAY)).replace("’", "'")
+        if "\t" in text:
+            text = _SPLIT_BY_TAB.sub("", text)
+        hits = list(self.automaton.iter(_lower(text)))
+        if not hits:
+            return []
+        if "“" in text or '"' in text or "„" in text or "«" in text:
+            text = _unquoted(text)
+            hits = list(self.automaton.iter(_lower(text)))
+        kinds = {kind for _, (kind, _) in hits}
+        out = [(kind, end + 1 - n, end + 1) for end, (kind, n) in hits if kind in ("error", "script", "filler")]
+        for kind in kinds & PATTERNS.keys():
+            out += [(kind, *m.span()) for m in PATTERNS[kind].finditer(text)]
+        if "latin" in kinds:
+            out += _latin_runs(text)
+        return out
+
+
+def _lower(text: str) -> str:
+    """Lower case, character for character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
+def _latin_runs(text: str) -> Iterator[tuple[str, int, int]]:
+    words, run = set(LATIN), []
+    for m in [*_WORD.finditer(text), None]:
+        if m and m[0].lower() in words:
+            run.append(m)
+            continue
+        if len(run) >= RUN and sum(x[0].lower() in LATIN_RARE for x in run) >= RARE:
+            yield "filler", run[0].start(), run[-1].end()
+        run = []
+
+
+_detector: list[Detector] = []
+
+
+def _ready() -> Detector:
+    if not _detector:
+        _detector.append(Detector())
+    return _detector[0]
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    detector = _ready()
+    for batch in batches:
+        ids, out = batch.column(0).to_pylist(), []
+        for id_, text in zip(ids, batch.column(1).to_pylist()):
+            spans = detector.spans(text)
+            if spans:
+                upto = covered = 0
+                for _, start, end in sorted(spans, key=lambda x: x[1:]):
+                    covered += max(0, end - max(start, upto))
+                    upto = max(upto, end)
+                out.append((id_, sorted({k if k != "run" else "filler" for k, *_ in spans}), len(spans), covered / len(text)))
+        columns = zip(*out) if out else [[]] * 4
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.int32(), pa.float64())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "kinds", "hits", "coverage"])
+
+
+def residue(documents: DataFrame) -> DataFrame:
+    """(doc_id, kinds, hits, coverage) of the documents (doc_id, text) whose text holds residue anywhere.
+
+    kinds are among error, filler, script and slot; coverage is the share of the text's characters
+    that hits cover. Null and empty texts hold none. Rows are looked at one by one, in whole, where
+    they lie: there is no shuffle. doc_id may be null or repeated.
+    """
+    return documents.select("doc_id", "text").where("text is not null").mapInArrow(
+        _found, "doc_id bigint, kinds array<string>, hits int, coverage double"
+    )
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(read(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of residue that each document holds, and how much of it they cover."""
+    return residue(read(spark, sf_dir, "documents")).withColumn("coverage", F.round("coverage", 6))
