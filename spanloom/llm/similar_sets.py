@@ -337,10 +337,13 @@ def candidates(records: DataFrame, t: float) -> DataFrame:
     return both.distinct()
 
 
-def set_classes(records: DataFrame) -> DataFrame:
-    """(id, class, items) rows of records (id, terms): class is the least id with the same set of terms."""
-    keyed = records.where("size(terms) > 0").select("id", F.array_sort(F.array_distinct("terms")).alias("items"))
-    return keyed.withColumn("key", F.md5(F.to_json("items")))
+def representatives(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, key, ...): (key, rep, copies), a row a key with its least id, and the rows of those ids.
+
+    Only keys and ids are shuffled; where the rows lie partitioned by id, they stay there.
+    """
+    classes = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    return classes, keyed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
 
 def similar_pairs(records: DataFrame, t: float = 0.75) -> DataFrame:
@@ -351,11 +354,13 @@ def similar_pairs(records: DataFrame, t: float = 0.75) -> DataFrame:
     Records with the same set are one class while pairs are searched, so copies cost nothing there;
     at the end each pair of classes is joined with its members, every link coming out.
     """
-    keyed = set_classes(records)
-    members = keyed.select("key", "id")
-    distinct = keyed.groupBy("key").agg(F.min("id").alias("id"), F.min("items").alias("terms"), F.count(F.lit(1)).alias("copies"))
-    hashed = distinct.select("id", F.transform("terms", lambda x: F.xxhash64(x)).alias("items"))
-    sets = distinct.select("id", "key", "terms")
+    keyed = (
+        records.where("size(terms) > 0")
+        .select("id", F.sort_array(F.array_distinct("terms")).alias("terms"))
+        .withColumn("key", F.md5(F.to_json("terms")))
+    )
+    classes, sets = representatives(keyed)
+    hashed = sets.select("id", F.transform("terms", lambda x: F.xxhash64(x)).alias("items"))
     pairs = candidates(hashed, t)
     for s in "ab":
         side = sets.select(F.col("id").alias(f"id_{s}"), F.col("key").alias(f"key_{s}"), F.col("terms").alias(f"terms_{s}"))
@@ -365,9 +370,11 @@ def similar_pairs(records: DataFrame, t: float = 0.75) -> DataFrame:
     verified = pairs.select("key_a", "key_b", shared.alias("shared"), total.alias("total")).where(
         F.col("shared") >= (F.col("total") - F.col("shared")) * t
     )
-    twins = distinct.where("copies > 1").select(
+    copied = classes.where("copies > 1").select(F.col("rep").alias("id")).join(sets, "id")
+    twins = copied.select(
         F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.size("terms").alias("shared"), (2 * F.size("terms")).alias("total")
     )
+    members = keyed.select("key", "id")
     links = verified.unionByName(twins)
     for s in "ab":
         links = links.join(members.select(F.col("key").alias(f"key_{s}"), F.col("id").alias(f"id_{s}")), f"key_{s}")
