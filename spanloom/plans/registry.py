@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs
 from ..operators import search, statistics
-from ..sources.corpus import Corpus
+from ..sources.corpus import Corpus, current_rows  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 VERSION = 1
@@ -237,11 +237,13 @@ select position, fragment, count(distinct folded) as words from (select * from f
 
 
 def every() -> dict[str, tuple[Query, str | None]]:
-    return dict(BASIC)
+    from . import study
+
+    return BASIC | study.STUDY
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return every()["token_statistics"][0](spark, sf_dir)
+    return every()["related_full"][0](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

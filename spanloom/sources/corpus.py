@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, refs, text
@@ -50,7 +50,7 @@ class Corpus:
     def __init__(self, verses: DataFrame, version: str = "", pattern: str = text.TOKEN):
         """verses: book, book_order, chapter, verse, display_text; a key of the first four is unique."""
         self.spark: SparkSession = verses.sparkSession
-        self.version, self.pattern = version, pattern
+        self.version, self.pattern, self.is_written = version, pattern, False
         columns = ["book", *REFERENCE, "display_text"]
         self.verses = canonical_ids(verses.select(*columns)).withColumn("label", refs.label(F.col("book"), F.col("chapter"), F.col("verse")))
 
@@ -115,8 +115,13 @@ class Corpus:
         the engine may broadcast or shuffle (and split where terms are very frequent), and are
         gathered by verse.
         """
+        return self._features(F.lit(True))
+
+    def _features(self, where: Column) -> DataFrame:
+        """features of the verses that a condition on book_order, chapter and verse picks."""
         rows = (
-            self.tokens.join(self.statistics.select("normalized", "document_frequency"), "normalized")
+            self.tokens.where(where)
+            .join(self.statistics.select("normalized", "document_frequency"), "normalized")
             .groupBy("id")
             .agg(
                 F.array_sort(
@@ -128,7 +133,7 @@ class Corpus:
             F.get("t", i - 1).char_end + 1, F.greatest(F.lit(0), x.char_start - F.get("t", i - 1).char_end)
         )
         empty = lambda kind: F.array().cast(f"array<{kind}>")
-        return self.verses.join(rows, "id", "left").select(
+        return self.verses.where(where).join(rows, "id", "left").select(
             "id",
             "label",
             "book",
@@ -152,16 +157,15 @@ class Corpus:
     def read(cls, spark: SparkSession, path: str, version: str = "") -> Corpus:
         """A corpus whose tables were written: nothing is tokenised or counted again."""
         self = cls.__new__(cls)
-        self.spark, self.version, self.pattern = spark, version, text.TOKEN
+        self.spark, self.version, self.pattern, self.is_written = spark, version, text.TOKEN, True
         for name in ("verses", "tokens", "statistics", "features"):
             self.__dict__[name] = spark.read.parquet(f"{path}/{name}")
         return self
 
     def verse(self, reference: refs.Reference):
         """The feature row of one verse."""
-        row = self.features.where(
-            (F.col("book_order") == reference.book_order) & (F.col("chapter") == reference.chapter) & (F.col("verse") == reference.verse)
-        ).first()
+        here = (F.col("book_order") == reference.book_order) & (F.col("chapter") == reference.chapter) & (F.col("verse") == reference.verse)
+        row = (self.features.where(here) if self.is_written else self._features(here)).first()
         if row is None:
             raise NotFound(f"not in the corpus: {reference}")
         return row
