@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import forms, numeric, pairs, refs, text
 from ..plans.config import TESTAMENT_CUT
 from ..plans.config import limit as checked_limit
+from ..plans.storage import staged
 from ..sources.corpus import REFERENCE, Corpus, in_testament
 from . import statistics
 
@@ -67,6 +68,7 @@ class Second:
 
     def __init__(self, corpus: Corpus):
         self.corpus = corpus
+        self.width = int(corpus.spark.conf.get("spark.sql.shuffle.partitions"))
 
     @cached_property
     def vocabulary(self) -> DataFrame:
@@ -192,7 +194,8 @@ class Second:
                 kinds = [pa.string(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["source_term", "term", "score", "kind", "fragment", "tier", "verses"])
 
-        found = self.vocabulary.select("folded", "verses").mapInArrow(run, schema)
+        spread = self.vocabulary.select("folded", "verses").repartition(self.width)
+        found = spread.mapInArrow(run, schema)
         return found.orderBy(F.col("score").desc(), F.collate("term", "UNICODE")).limit(limit)
 
     def word_family(self, term: str, shown: int = 60, discovered: int = 300) -> DataFrame:
@@ -251,7 +254,7 @@ class Second:
         """
         source = self.verse(reference)
         found = self.candidates(source, books, testament)
-        chosen = found.orderBy(F.col("identity").desc(), F.col("bound").desc(), "id").limit(quota)
+        chosen = staged(found.orderBy(F.col("identity").desc(), F.col("bound").desc(), "id").limit(quota)).repartition(self.width)
         scored = self.finish(self.measure(chosen, source, level), source, level).where(F.col("score") >= minimum_score)
         order = Window.orderBy(F.col("identity_score").desc(), F.col("score").desc(), F.col("textual").desc(), F.col("proximity").desc(), *REFERENCE)
         n = checked_limit(limit, 50)
@@ -357,7 +360,8 @@ class Second:
                 yield pa.RecordBatch.from_pylist(out, arrow)
 
         exploded = rows.select("id", F.posexplode(layer).alias("at", "word"))
-        related_words = exploded.select("word").distinct().mapInArrow(run, schema)
+        # the comparison outweighs its input by far: tasks must not be merged for the input's size
+        related_words = exploded.select("word").distinct().repartition(self.width).mapInArrow(run, schema)
         first = lambda c: F.min(F.struct((-F.col(f"{c}.score")).alias("s"), F.col(f"{c}.x").alias("x"), "at", F.col(c).alias("best"))).alias(c)
         best = exploded.join(related_words, "word").groupBy("id").agg(first("m"), first("l"))
         return best.select(

@@ -237,9 +237,9 @@ select position, fragment, count(distinct folded) as words from (select * from f
 
 
 def every() -> dict[str, tuple[Query, str | None]]:
-    from . import second_queries, study
+    from . import second_queries, stream_queries, study
 
-    return BASIC | study.STUDY | second_queries.SECOND
+    return BASIC | study.STUDY | second_queries.SECOND | stream_queries.STREAMS
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
