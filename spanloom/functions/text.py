@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -96,3 +97,35 @@ def letters(word: Column) -> Column:
 def is_sentence_start(position: Column, between: Column) -> Column:
     """between: the text from the token before to this one."""
     return (position == 0) | F.coalesce(between.rlike(SENTENCE_END), F.lit(False))
+
+
+def token_rows(df: DataFrame, column: str, pattern: str = TOKEN) -> DataFrame:
+    """A row a token of df's column: df's other columns, position, char_start, char_end, surface, folded.
+
+    Linear in the text, in Arrow batches; folding composes fully. Null texts have no tokens.
+    """
+    keys = [c for c in df.columns if c != column]
+
+    def run(batches):
+        import regex
+
+        find = regex.compile(pattern).finditer
+        for batch in batches:
+            rows, positions, starts, ends, surface = [], [], [], [], []
+            for k, t in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
+                if t:
+                    for n, m in enumerate(find(t)):
+                        rows.append(k)
+                        positions.append(n)
+                        starts.append(m.start())
+                        ends.append(m.end())
+                        surface.append(m[0])
+            kept = batch.select(keys).take(pa.array(rows, pa.int64()))
+            words = pa.array(surface, pa.string()).dictionary_encode()
+            forms = [w.lower() if w.isascii() else unicodedata.normalize("NFC", w).lower() for w in words.dictionary.to_pylist()]
+            folded = pa.array(forms, pa.string()).take(words.indices)
+            columns = [pa.array(x, pa.int32()) for x in (positions, starts, ends)] + [words.cast(pa.string()), folded]
+            yield pa.record_batch([*kept.columns, *columns], names=[*keys, "position", "char_start", "char_end", "surface", "folded"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != column)
+    return df.select(*keys, column).mapInArrow(run, f"{schema}, position int, char_start int, char_end int, surface string, folded string")

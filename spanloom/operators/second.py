@@ -70,11 +70,25 @@ class Second:
         self.corpus = corpus
         self.width = int(corpus.spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @classmethod
+    def of(cls, corpus: Corpus) -> Second:
+        """One for each prepared corpus, so that its tables are built once too."""
+        if "second" not in corpus.__dict__:
+            corpus.__dict__["second"] = cls(corpus)
+        return corpus.__dict__["second"]
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return staged(df) if self.corpus.is_written else df
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return self._kept(statistics.segment_frequency(self.corpus))
+
     @cached_property
     def vocabulary(self) -> DataFrame:
         """(folded, frequency, verses, letters)."""
         counted = self.corpus.tokens.groupBy("folded").agg(F.count(F.lit(1)).alias("frequency"), F.count_distinct("id").alias("verses"))
-        return counted.withColumn("letters", text.letters(F.col("folded")))
+        return self._kept(counted.withColumn("letters", text.letters(F.col("folded"))))
 
     @cached_property
     def axes(self) -> DataFrame:
@@ -125,7 +139,7 @@ class Second:
         )
         empty = lambda kind: F.array().cast(f"array<{kind}>")
         pick = lambda c, kind: F.coalesce(F.col(f"t.{c}"), empty(kind)).alias(c)
-        return (
+        return self._kept(
             self.corpus.verses.join(rows, "id", "left")
             .join(self.axes, "id")
             .select(
@@ -396,7 +410,7 @@ class Second:
         """Measured pairs with the frequencies of what they rest on, the groups, and the score."""
         b = self.bounds
         size = F.lit(b.vocabulary)
-        segments = statistics.segment_frequency(self.corpus)
+        segments = self.segments
         wanted = measured.select(F.explode(F.array("morphology_fragment", "letter_fragment")).alias("fragment")).distinct()
         known = segments.join(wanted, "fragment", "left_semi").groupBy("fragment").agg(F.map_from_entries(F.collect_list(F.struct("position", "words"))).alias("at"))
         characters = statistics.character_frequency(self.corpus).agg(F.map_from_entries(F.collect_list(F.struct("character", "words"))).alias("chars"))  # an alphabet

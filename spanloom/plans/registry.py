@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import refs
+from ..functions import refs, text
 from ..operators import search, statistics
 from ..sources.corpus import Corpus, current_rows  # noqa: F401
 
@@ -23,8 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str, version: int = VERSION) -> Corpus:
-    return Corpus.of_deliveries(table(spark, sf_dir, "scoring_verses"), version)
+_prepared: dict[tuple, Corpus] = {}
+
+
+def corpus(spark: SparkSession, sf_dir: str, version: int = VERSION, pattern: str = text.TOKEN) -> Corpus:
+    """The corpus of a version, prepared once a session and folder: queries then read its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, version, pattern)
+    if key not in _prepared:
+        _prepared[key] = Corpus.of_deliveries(table(spark, sf_dir, "scoring_verses"), version, pattern=pattern).prepared()
+    return _prepared[key]
 
 
 def probe(spark: SparkSession, sf_dir: str, nth: int = 0) -> refs.ReferenceRange:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import second
 from ..sources.corpus import Corpus
-from .registry import TOKEN_SQL, VERSION, WORD, probe, sql, table
+from .registry import TOKEN_SQL, WORD, corpus, probe, sql
 from .study import PROBE_SQL
 
 
 def joined(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus.of_deliveries(table(spark, sf_dir, "scoring_verses"), VERSION, pattern=text.JOINED_TOKEN)
+    return corpus(spark, sf_dir, pattern=text.JOINED_TOKEN)
 
 
 def on(f):
@@ -22,7 +22,7 @@ def on(f):
 
 def at(f):
     """f(tables, reference) at the probe."""
-    return lambda spark, sf_dir: f(second.Second(joined(spark, sf_dir)), probe(spark, sf_dir).start)
+    return lambda spark, sf_dir: f(second.Second.of(joined(spark, sf_dir)), probe(spark, sf_dir).start)
 
 
 def sql2(body: str) -> str:
@@ -35,7 +35,7 @@ CLAMPED = "greatest(0, least(1, {}))"
 
 
 def _word_values(c: Corpus) -> DataFrame:
-    s = second.Second(c)
+    s = second.Second.of(c)
     limits = s.vocabulary.agg(F.max("frequency").alias("most"), F.min("frequency").alias("least"), F.max("letters").alias("longest"))
     rows = s.vocabulary.crossJoin(F.broadcast(limits))  # one row
     rarity = second.corpus_rarity(F.col("most"), F.col("frequency"), F.col("least"))

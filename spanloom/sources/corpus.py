@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, refs, text
 from ..plans.config import TESTAMENT_CUT
 from ..plans.errors import NotFound
+from ..plans.storage import shared_dir
 
 REFERENCE = ["book_order", "chapter", "verse"]
 
@@ -68,10 +70,8 @@ class Corpus:
     @cached_property
     def tokens(self) -> DataFrame:
         """A row a token: the verse's key, position, offsets, and the three layers of its form."""
-        exploded = self.verses.select(
-            "id", "book", *REFERENCE, F.inline(text.tokenize(F.col("display_text"), self.pattern))
-        )
-        return exploded.withColumn("normalized", text.normalized(F.col("folded")))
+        rows = text.token_rows(self.verses.select("id", "book", *REFERENCE, "display_text"), "display_text", self.pattern)
+        return rows.withColumn("normalized", text.normalized(F.col("folded")))
 
     @cached_property
     def statistics(self) -> DataFrame:
@@ -147,21 +147,38 @@ class Corpus:
         )
 
     def write(self, path: str) -> None:
-        """The tables that queries read, as a bucket-free layout sorted by what is looked up."""
+        """The tables that queries read. Tokens are sorted by form, so that a search for a word reads the
+        few row groups that can hold it; the others are built from what is already written."""
         self.verses.write.parquet(f"{path}/verses")
-        self.tokens.repartitionByRange("folded").sortWithinPartitions("folded", "id").write.parquet(f"{path}/tokens")
-        self.statistics.write.parquet(f"{path}/statistics")
-        self.features.write.parquet(f"{path}/features")
+        verses = self.spark.read.parquet(f"{path}/verses")
+        half = Corpus._of(verses, self.version, self.pattern)
+        half.tokens.repartitionByRange("folded").sortWithinPartitions("folded", "id").write.parquet(f"{path}/tokens")
+        half.__dict__["tokens"] = self.spark.read.parquet(f"{path}/tokens")
+        half.statistics.write.parquet(f"{path}/statistics")
+        half.__dict__["statistics"] = self.spark.read.parquet(f"{path}/statistics")
+        half.features.write.parquet(f"{path}/features")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, version: str = "") -> Corpus:
-        """A corpus whose tables were written: nothing is tokenised or counted again."""
+    def _of(cls, verses: DataFrame, version: str, pattern: str) -> Corpus:
         self = cls.__new__(cls)
-        self.spark, self.version, self.pattern, self.is_written = spark, version, text.TOKEN, True
-        for name in ("verses", "tokens", "statistics", "features"):
+        self.spark, self.verses, self.version, self.pattern, self.is_written = verses.sparkSession, verses, version, pattern, False
+        return self
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, version: str = "", pattern: str = text.TOKEN) -> Corpus:
+        """A corpus whose tables were written: nothing is tokenised or counted again."""
+        self = cls._of(spark.read.parquet(f"{path}/verses"), version, pattern)
+        for name in ("tokens", "statistics", "features"):
             self.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+        self.is_written = True
         return self
 
+    def prepared(self) -> Corpus:
+        """The same corpus over tables written to the shared folder: an index that is built once."""
+        path = f"{shared_dir(self.spark)}/corpus-{uuid.uuid4().hex}"
+        self.write(path)
+        return Corpus.read(self.spark, path, self.version, self.pattern)
+
     def verse(self, reference: refs.Reference):
         """The feature row of one verse."""
         here = (F.col("book_order") == reference.book_order) & (F.col("chapter") == reference.chapter) & (F.col("verse") == reference.verse)
