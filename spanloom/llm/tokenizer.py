@@ -29,8 +29,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces whose ids a task remembers, states that its transducer keeps and pairs known to be valid or
 #: not; beyond, they are made anew.
 PIECES, STATES, VALID = 1 << 18, 1 << 17, 1 << 19
-#: Pieces of more characters aren't remembered.
-LONG = 64
+#: Pieces of more characters aren't remembered; tokens of more bytes ahead are settled before going on.
+LONG, LOOKAHEAD = 64, 2048
 
 
 class Vocabulary:
@@ -122,9 +122,10 @@ class Transducer:
         return self._state(data[cut:], ends[cut:]), found
 
     def encode(self, data: bytes) -> list[int]:
+        """Ids of a piece. Of a long one, tokens are put out while it is read, as soon as they are final."""
         if len(self.at) > STATES:
             self.clear()
-        state, last = self.start, []
+        state, last, out = self.start, [], []
         moves = self.moves
         for byte in data:
             step = moves[state].get(byte)
@@ -132,13 +133,34 @@ class Transducer:
                 step = moves[state][byte] = self._move(state, byte)
             state = step[0]
             last.append(step[1])
-        ids, at, tokens = [], len(last), self.v.tokens
+            if len(last) >= LOOKAHEAD:
+                settled = self._settled(last, len(self.at[state][0]))
+                out += self._back(last, settled)
+                del last[:settled]
+        return out + self._back(last, len(last))
+
+    def _back(self, last: list[int], at: int) -> list[int]:
+        """The tokens that lead to a place."""
+        ids, tokens = [], self.v.tokens
         while at:
-            token = last[at - 1]
-            ids.append(token)
-            at -= len(tokens[token])
-        ids.reverse()
-        return ids
+            ids.append(last[at - 1])
+            at -= len(tokens[last[at - 1]])
+        return ids[::-1]
+
+    def _settled(self, last: list[int], window: int) -> int:
+        """The furthest place through which every encoding of a continuation passes.
+
+        A further token begins at one of the last `window` places; where the ways back from all of
+        these meet, what lies before is final.
+        """
+        sizes, common = self.v.tokens, None
+        for at in range(max(0, len(last) - window), len(last) + 1):
+            way = {at}
+            while at:
+                at -= len(sizes[last[at - 1]])
+                way.add(at)
+            common = way if common is None else common & way
+        return max(common)
 
 
 class Encoder(dict):

@@ -41,7 +41,7 @@ def test_ids(spark, public):
 
 
 def test_small_memories(public, monkeypatch):
-    for name, size in (("PIECES", 5), ("STATES", 5), ("VALID", 5)):
+    for name, size in (("PIECES", 5), ("STATES", 5), ("VALID", 5), ("LOOKAHEAD", 9)):
         monkeypatch.setattr(tokenizer, name, size)
     encoder = tokenizer.Encoder(tokenizer.Vocabulary.load(*tokenizer.public()))
     for t in AWKWARD[2:] + ["the quick brown fox jumps over the lazy dog"] * 2:
