@@ -327,7 +327,8 @@ def candidates(records: DataFrame, t: float) -> DataFrame:
     buckets = width(spark)
 
     def by_bucket(blocks: DataFrame) -> DataFrame:
-        return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        # a partition a bucket: hashing the few bucket numbers would leave some partitions empty, others with several
+        return blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
 
     first = by_bucket(records.select("id", "items").mapInArrow(_first(t, buckets), BLOCKS))
     found = first.mapInArrow(_matched(t, buckets, HOT), FOUND)
