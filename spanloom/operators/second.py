@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import forms, numeric, pairs, refs, text
 from ..plans.config import TESTAMENT_CUT
 from ..plans.config import limit as checked_limit
+from ..plans.errors import InvalidRequest
 from ..plans.storage import staged
 from ..sources.corpus import REFERENCE, Corpus, in_testament
 from . import statistics
@@ -275,6 +276,60 @@ class Second:
         top = scored.orderBy(F.col("identity_score").desc(), F.col("score").desc(), F.col("textual").desc(), F.col("proximity").desc(), *REFERENCE).limit(n)
         return top.withColumn("rank", F.row_number().over(order))  # at most 500 rows
 
+    def compare(self, references: list[refs.Reference], level: str = "exact_spelling") -> DataFrame:
+        """(left, right, score, ...): every two of 2 to 10 verses, scored as by `related`."""
+        if not 2 <= len(references) <= 10:
+            raise InvalidRequest("a comparison takes 2 to 10 references")
+        rows = [self.verse(r) for r in references]
+        out = None
+        for k, source in enumerate(rows[:-1]):
+            later = [r.id for r in rows[k + 1 :]]
+            pairs_of = self.finish(self.measure(self.features.where(F.col("id").isin(later)), source, level), source, level)
+            pairs_of = pairs_of.withColumns({"left": F.lit(source.label), "right": F.col("label")})
+            out = pairs_of if out is None else out.unionByName(pairs_of)
+        return out
+
+    def graph(self, reference: refs.Reference, results: int = 10, terms: int = 8, nodes: int = 30) -> dict[str, DataFrame]:
+        """nodes (node, kind, place) and edges (source, target, kind, score): a verse, its best results and the
+        first shared words of each, in the order in which they are met; what is beyond `nodes` is left out."""
+        top = staged(self.related(reference, results).select("rank", "label", "score", F.slice("shared", 1, terms).alias("shared")))
+        name = str(reference)
+        words = top.select("rank", "label", F.posexplode("shared").alias("k", "term"))
+        met = (
+            self.corpus.spark.createDataFrame([(name, "verse", 0, -1)], "node string, kind string, rank int, k int")
+            .unionByName(top.select(F.col("label").alias("node"), F.lit("verse").alias("kind"), "rank", F.lit(-1).alias("k")))
+            .unionByName(words.select(F.concat(F.lit("term:"), "term").alias("node"), F.lit("term").alias("kind"), "rank", "k"))
+        )
+        first = met.groupBy("node", "kind").agg(F.min(F.struct("rank", "k")).alias("at"))
+        placed = first.select("node", "kind", F.row_number().over(Window.orderBy("at")).alias("place")).where(F.col("place") <= nodes)  # at most 91 rows
+        edge = lambda source, target, kind, score: F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), score.alias("score"))
+        term = F.concat(F.lit("term:"), "term")
+        edges = top.select(F.inline(F.array(edge(F.lit(name), F.col("label"), "lexical_similarity", F.col("score"))))).unionByName(
+            words.select(F.inline(F.array(edge(F.lit(name), term, "contains_term", F.lit(1.0)), edge(term, F.col("label"), "contains_term", F.lit(1.0)))))
+        )
+        for side in ("source", "target"):
+            edges = edges.join(placed.select(F.col("node").alias(side)), side, "left_semi")
+        return {"nodes": placed, "edges": edges.distinct()}
+
+    def topic_branches(self, senses: DataFrame, selected: str | None = None, shown: int = 12) -> DataFrame:
+        """(sense_id, term, score, confidence, bridge_strength, rank): for each sense of a dictionary's entry, the
+        words of the corpus most like its synonyms. Without a selection each sense is a branch of equal confidence."""
+        rows = senses.collect()  # one entry
+        kept = [r for r in rows if selected in (None, r.sense_id)]
+        confidence = 1.0 if selected else pairs.round6(1 / max(2, len(rows)))
+        out = None
+        for r in kept:
+            words = sorted({w.lower() for s in r.synonyms for w in forms.parts(s.replace("_", " ")) if " " not in s.replace("_", " ")})
+            if words:
+                found = self.word_relations(words, shown)
+                order = Window.orderBy(F.col("score").desc(), F.collate("term", "UNICODE"))
+                branch = found.select(
+                    F.lit(r.sense_id).alias("sense_id"), "term", "score", F.lit(confidence).alias("confidence"), numeric.round6(F.col("score") * confidence).alias("bridge_strength"),
+                    F.row_number().over(order).alias("rank"),
+                )
+                out = branch if out is None else out.unionByName(branch)
+        return out if out is not None else self.corpus.spark.createDataFrame([], "sense_id string, term string, score double, confidence double, bridge_strength double, rank int")
+
     def tier_totals(self, reference: refs.Reference, quota: int = QUOTA) -> DataFrame:
         """(tier, total, evaluated, pruned) of a verse's candidates."""
         rows = self.candidates(self.verse(reference))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import second
 from ..sources.corpus import Corpus
+from . import study
 from .registry import TOKEN_SQL, WORD, corpus, probe, sql
 from .study import PROBE_SQL
 
@@ -125,5 +126,13 @@ from f join k using (key) join v b on b.id = k.id join v a on a.id = f.first whe
     ),
     "word_family": (at(_family), None),
     "related_second": (at(_related), None),
+    "second_compare": (
+        lambda spark, sf_dir: second.Second.of(joined(spark, sf_dir))
+        .compare([probe(spark, sf_dir, k).start for k in (0, 1, 2)])
+        .select("left", "right", "score", "textual", "proximity"),
+        None,
+    ),
+    "second_graph": (at(lambda s, r: s.graph(r)["edges"]), None),
+    "second_topic": (lambda spark, sf_dir: second.Second.of(joined(spark, sf_dir)).topic_branches(study.synonyms(spark)), None),
     "candidate_tiers": (at(lambda s, r: s.tier_totals(r)), None),
 }

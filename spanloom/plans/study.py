@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs
 from ..operators import cross_references, related, topics, workflows
-from ..sources import ingest
+from ..sources import ingest, relational
 from . import registry
 from .config import ScoringConfig
 from .registry import WORD, corpus, on_corpus, probe, sql, table
@@ -66,14 +66,14 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compare("pairs")(spark, sf_dir).select("left", "right", "score", F.col("components.jaccard").alias("jaccard"))
 
 
-def _synonyms(spark: SparkSession) -> DataFrame:
+def synonyms(spark: SparkSession) -> DataFrame:
     """Senses as a dictionary gives them."""
     rows = [("s1", "noun", "moving water", ["river", "stream", "brook water"]), ("s2", "noun", "a light", ["lamp", "lantern", "LAMP", "torch_light", "candle"])]
     return spark.createDataFrame(rows, topics.SENSES)
 
 
 def _topic(step):
-    return lambda spark, sf_dir: step(corpus(spark, sf_dir), _synonyms(spark))
+    return lambda spark, sf_dir: step(corpus(spark, sf_dir), synonyms(spark))
 
 
 def _ranked(c, senses: DataFrame, limit: int = 100) -> DataFrame:
@@ -105,6 +105,13 @@ def _import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.counts(current.select("reference.book_order", "reference.chapter", "italics", "paratext"))
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "scoring_verses").select("verse_id", "loaded_at", "corpus_version_id", "reference", "display_text")
+    current = registry.current_rows(rows, "verse_id", "loaded_at")
+    verses = current.select("corpus_version_id", "reference.book_order", "reference.chapter", "reference.verse", "display_text")
+    return relational.violations(verses, table(spark, sf_dir, "books"), table(spark, sf_dir, "token_statistics"))
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "related_results").select(F.col("query_reference").alias("source"), F.col("target_reference").alias("target"))
     records = pairs.where("source <> target").withColumn("note", F.lit(" from a ranking "))
@@ -234,6 +241,22 @@ from (select distinct query_reference from related_results) left join books b on
 from (select *, reference.chapter as chapter, reference.verse as verse,
     regexp_matches(source_book_code || ' 1:1 ' || display_text, '^([1-3]?[A-Za-z]+) (\d+):(\d+) (.+)$') as ok from scoring_verses) s
 left join books b on b.osis = s.source_book_code and ok where source_book_code is not null and display_text is not null""",
+    ),
+    "data_quality": (
+        _quality,
+        f"""with c as (
+  select verse_id, corpus_version_id, reference.book_order as b, reference.chapter as c, reference.verse as v, display_text from (
+    select *, row_number() over (partition by verse_id order by loaded_at desc) as rn from scoring_verses) where rn = 1
+), s as (
+  select corpus_version_id as version, normalized, count(*) as n,
+    count_if(total_frequency < document_frequency) as f, count_if(idf < 0) as i from token_statistics group by all)
+select 'verses: repeated place' as rule, count(*) as violations from (select 1 from c group by corpus_version_id, b, c, v having count(*) > 1)
+union all select 'verses: no text', count(*) from c where coalesce(display_text, '') = ''
+union all select 'verses: unknown book', count(*) from c where b not in (select book_order from books)
+union all select 'token_statistics: repeated term', count(*) from s where n > 1
+union all select 'token_statistics: total below document frequency', coalesce(sum(f), 0) from s
+union all select 'token_statistics: negative idf', coalesce(sum(i), 0) from s
+union all select 'books: order or testament', count(*) from books where book_order not between 1 and 66 or testament not in ('OT', 'NT')""",
     ),
     "import_counts": (
         _import_counts,

@@ -98,6 +98,15 @@ class WordNet:
         return rows.orderBy("ordinal")
 
 
+def keep_selection(spark: SparkSession, cache: str, topic: str, sense_id: str, terms: list[str]) -> str:
+    """Writes down, once, which terms were chosen for a topic and sense; gives the record's key."""
+    chosen = sorted(set(terms))
+    key = stable_sha256({"topic": topic, "sense": sense_id, "selectedCandidates": chosen})
+    row = spark.createDataFrame([(topic, sense_id, chosen)], "topic string, sense_id string, terms array<string>")
+    row.coalesce(1).write.mode("ignore").parquet(f"{cache}/selections/{key}")
+    return key
+
+
 def unpack(archive: str, into: str, sha256: str | None = None) -> dict[str, str]:
     """The dictionary's files of a tar.gz in a folder; gives their digests."""
     import hashlib

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -6,7 +8,8 @@ from spanloom.functions import forms, refs
 from spanloom.functions.text import JOINED_TOKEN
 from spanloom.operators import cross_references, related, second, topics, workflows
 from spanloom.plans.config import ScoringConfig
-from spanloom.plans.errors import InvalidRequest, NotFound, Unavailable, Unprocessable
+from spanloom.plans import api
+from spanloom.plans.errors import InvalidRequest, NotFound, Unavailable, Unprocessable, VersionConflict
 from spanloom.sources.corpus import Corpus
 
 from .test_search import SCHEMA
@@ -144,3 +147,33 @@ def test_second_algorithm(corpus, spark):
     assert [(r.label_a, r.label_b) for r in second.text_identities(twice).collect()] == [("John 3:16", "Romans 9:9")]
     family = s.word_family("form").orderBy("rank").collect()
     assert family[0].term == "form" and "formed" in {r.term for r in family}
+
+
+def test_second_comparison_and_graph(corpus, spark):
+    s = second.Second.of(corpus)
+    pairs = {(r.left, r.right): r.score for r in s.compare([at("John 3:16"), at("1 John 4:9"), at("Genesis 1:1")]).collect()}
+    ranked = {r.label: r.score for r in s.related(at("John 3:16")).collect()}
+    assert len(pairs) == 3 and pairs["John 3:16", "1 John 4:9"] == ranked["1 John 4:9"]
+    graph = s.graph(at("John 3:16"), nodes=6)
+    nodes = {r.node for r in graph["nodes"].collect()}
+    assert len(nodes) == 6 and all(e.source in nodes and e.target in nodes for e in graph["edges"].collect())
+    senses = Words(spark).lookup("harmony")
+    rows = s.topic_branches(senses).collect()
+    assert {r.sense_id for r in rows} == {"s1", "s2"} and all(r.confidence == 0.5 for r in rows)
+    assert s.topic_branches(senses, "s1").orderBy("rank").first().term == "earth"
+
+
+def test_requests(corpus):
+    books = refs.Books(BOOKS)
+    got = api.answer(corpus, books, "related", {"reference": "John 3:16", "limit": 1, "match_level": "normalized"})
+    assert got.frames["results"].first().label == "1 John 4:9" and len(got.meta["configurationSha256"]) == 64
+    assert api.answer(corpus, books, "exact", {"query": "the world"}).frames["matches"].count() == 4
+    assert api.answer(corpus, books, "passage", {"reference": "Genesis 1:1", "context": 1}).frames["verses"].count() == 2
+    assert api.answer(corpus, books, "graph", {"reference": "John 3:16", "nodes": 5}).frames["nodes"].count() <= 5
+    record = json.loads(api.export(corpus, books, "distribution", {"query": "world"}).first().value)
+    assert record["recordVersion"] == "1.0.0" and len(record["response"]) == 4
+    for bad in (("none", {}), ("exact", {}), ("exact", {"query": 1}), ("exact", {"query": "x", "more": 1}), ("related", {"reference": "John 3:16", "limit": True})):
+        with pytest.raises(InvalidRequest):
+            api.answer(corpus, books, *bad)
+    with pytest.raises(VersionConflict):
+        api.answer(corpus, books, "related", {"reference": "John 3:16", "algorithm": "9"})
