@@ -11,7 +11,8 @@ therefore a group key, whole and with each one of its items deleted.
 A key that many records share (a segment that is empty, or holds only very common items) is hot.
 Its group isn't enumerated: each record joins its hot keys two by two, of different segments, into
 new keys. A pair with a key that isn't hot is found by that one, and any other has two hot keys in
-different segments. Nothing is dropped either way.
+different segments. Groups that are large even then are cut into parts, and every two parts are a
+task of bounded size. Nothing is dropped either way.
 
 Between the candidates and the exact check stands a test without false negatives: the bits by which
 two sets' parity sketches differ are at most the number of items in which the sets differ.
@@ -31,8 +32,8 @@ from .common import current_verses, read, width
 from .cooccurrence import _expand, _ragged_pairs, _within
 from .distinctive import CURRENT_SQL
 
-#: A group of more entries is hot in the first round.
-HOT = 96
+#: A group of more entries is hot in the first round; one of more in the second is enumerated by several tasks.
+HOT, LARGE = 96, 4096
 #: Entries of a batch that are written in one block a bucket; pairs tested at a time.
 BLOCK = 1 << 20
 #: The blocks that are shuffled: 32 bits of the key (the bucket has the others), and for each entry
@@ -206,10 +207,11 @@ def _chunks(sizes):
         lo = hi
 
 
-def _matched(t: float, buckets: int, hot: int | None):
-    """Blocks sorted by bucket to pairs, and to blocks of hot entries where `hot` is given.
+def _matched(t: float, buckets: int, hot: int | None = None, large: int | None = None):
+    """Blocks sorted by bucket to pairs, and to blocks of the entries of groups larger than `hot` or `large`.
 
-    The hot ones are in buckets by record. Their keys' other bits are the bucket's number.
+    The hot ones are in buckets by record. Their keys' other bits are the bucket's number. Large
+    groups are cut into parts, and every two parts get a key of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +225,20 @@ def _matched(t: float, buckets: int, hot: int | None):
             lengths = np.diff(np.append(starts, len(k)))
             many = lengths > 1
             if hot:
-                large = many & (lengths > hot)
-                many &= ~large
-                mine = order[np.repeat(starts[large], lengths[large]) + _within(lengths[large])]
+                wide = many & (lengths > hot)
+                many &= ~wide
+                mine = order[np.repeat(starts[wide], lengths[wide]) + _within(lengths[wide])]
                 if len(mine):
                     whole = key[mine] << np.uint64(32) | np.uint64(rows[0]["bucket"])
                     yield _batch(_FOUND_NAMES, [(None, None, *x) for x in _hot_blocks(whole, record[mine], deleted[mine], ids, sketch, size, buckets)])
+            if large:
+                for g in np.flatnonzero(lengths > large):
+                    group = order[starts[g] : starts[g] + lengths[g]]
+                    whole = key[group[0]] << np.uint64(32) | np.uint64(rows[0]["bucket"])
+                    for part in _part_pairs(group, ids[record[group]], whole, large):
+                        entries = record[part[1]] << 1 | deleted[part[1]]
+                        yield _batch(_FOUND_NAMES, [(None, None, *x) for x in _write(part[0], entries, ids, sketch, size, buckets)])
+                many &= lengths <= large
             for i, j in _ragged_pairs(starts[many], lengths[many], BLOCK):
                 a, b = order[i], order[j]
                 keep = ~(deleted[a] & deleted[b])
@@ -254,6 +264,22 @@ def _matched(t: float, buckets: int, hot: int | None):
     return run
 
 
+def _part_pairs(group, ids, key, large: int):
+    """(keys, entries) for every two parts of a group that is cut into parts of about `large` / 2 entries by id."""
+    import numpy as np
+
+    n = -(-2 * len(group) // large)
+    of = (mix(ids ^ np.int64(0x5DEECE66D)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=n))
+    parts = [group[order[(ends[x - 1] if x else 0) : ends[x]]] for x in range(n)]
+    for x in range(n):
+        for y in range(x + 1, n):
+            both = np.concatenate((parts[x], parts[y]))
+            if len(both) > 1:
+                yield np.repeat(mix(mix(np.array([key], np.uint64)) + np.uint64(x * n + y)), len(both)), both
+
+
 def _hot_blocks(key, record, deleted, ids, sketch, size, buckets: int):
     """Hot entries in blocks by record: the whole key takes two columns of the table's form."""
     import numpy as np
@@ -331,11 +357,14 @@ def candidates(records: DataFrame, t: float) -> DataFrame:
         return blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
 
     first = by_bucket(records.select("id", "items").mapInArrow(_first(t, buckets), BLOCKS))
-    found = first.mapInArrow(_matched(t, buckets, HOT), FOUND)
+    found = first.mapInArrow(_matched(t, buckets, hot=HOT), FOUND)
     hot = by_bucket(found.where("bucket is not null").select(*_BLOCK_NAMES))
-    again = by_bucket(hot.mapInArrow(_second(buckets), BLOCKS)).mapInArrow(_matched(t, buckets, None), FOUND)
-    both = found.where("bucket is null").select("id_a", "id_b").unionAll(again.select("id_a", "id_b"))
-    return both.distinct()
+    again = by_bucket(hot.mapInArrow(_second(buckets), BLOCKS)).mapInArrow(_matched(t, buckets, large=LARGE), FOUND)
+    parted = by_bucket(again.where("bucket is not null").select(*_BLOCK_NAMES)).mapInArrow(_matched(t, buckets), FOUND)
+    every = found.where("bucket is null").select("id_a", "id_b")
+    for more in (again.where("bucket is null"), parted):
+        every = every.unionAll(more.select("id_a", "id_b"))
+    return every.distinct()
 
 
 def representatives(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -36,9 +36,10 @@ def brute_sets(rows, t):
     return out
 
 
-@pytest.mark.parametrize("seed, t, hot", [(1, 0.75, 96), (2, 0.75, 3), (3, 0.6, 2), (4, 0.9, 96), (5, 0.5, 2)])
-def test_similar_pairs(spark, monkeypatch, seed, t, hot):
+@pytest.mark.parametrize("seed, t, hot, large", [(1, 0.75, 96, 4096), (2, 0.75, 3, 4), (3, 0.6, 2, 2), (4, 0.9, 96, 4096), (5, 0.5, 2, 8)])
+def test_similar_pairs(spark, monkeypatch, seed, t, hot, large):
     monkeypatch.setattr(similar_sets, "HOT", hot)
+    monkeypatch.setattr(similar_sets, "LARGE", large)
     rows = sets_of(random.Random(seed), 220)
     rows += [(900, None), (901, []), (902, ["x"]), (903, ["x", "x"]), (904, ["t1"] * 50)]
     got = similar_sets.similar_pairs(spark.createDataFrame(rows, RECORDS), t).collect()
