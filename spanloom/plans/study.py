@@ -105,6 +105,13 @@ def _import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.counts(current.select("reference.book_order", "reference.chapter", "italics", "paratext"))
 
 
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["verse_id", "loaded_at", "corpus_version_id", "reference", "source_book_code", "display_text", "italics", "paratext"]
+    current = registry.current_rows(table(spark, sf_dir, "scoring_verses").select(*columns), "verse_id", "loaded_at")
+    rows = current.where(F.col("corpus_version_id") == registry.VERSION).select("reference.*", "source_book_code", "display_text", "italics", "paratext")
+    return ingest.canonical_json(rows).select("value")
+
+
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "scoring_verses").select("verse_id", "loaded_at", "corpus_version_id", "reference", "display_text")
     current = registry.current_rows(rows, "verse_id", "loaded_at")
@@ -264,8 +271,5 @@ union all select 'books: order or testament', count(*) from books where book_ord
   count(*) as verses, coalesce(sum(len(italics)), 0) as italic_spans, coalesce(sum(len(paratext)), 0) as paratext_items
 from (select *, row_number() over (partition by verse_id order by loaded_at desc) as rn from scoring_verses) where rn = 1 and corpus_version_id = {registry.VERSION}""",
     ),
-    "canonical_json": (
-        on_corpus(lambda c: ingest.canonical_json(c.verses.withColumns({"source_book_code": F.lit(None).cast("string"), "italics": F.lit(None).cast("array<int>"), "paratext": F.lit(None).cast("array<int>")})).select(F.col("value"))),
-        None,
-    ),
+    "canonical_json": (_canonical, None),
 }
