@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,8 +65,14 @@ LATIN_RARE = set("lorem ipsum amet consectetur adipiscing elit eiusmod incididun
 RUN, RARE = 5, 3
 
 #: Where a slot can begin: what the automaton looks for before the forms are tried.
-OPENINGS = ["{", "<%", "<?", "${", "%(", "@@", "__", "[[", "%s", "[object", "undefined", "null null", "missing(", "tbd_", "[insert", "<insert", "[your", "goes here", "(todo", "todo:"]
+OPENINGS = ["{", "<%", "<?", "${", "%(", "@@", "__", "[[", "%s", "[object", "undefined", "null:null", "missing(", "tbd_", "[insert", "<insert", "[your", "goes here", "(todo", "todo:"]
 SIGNED = ["$", "%"]
+#: Where a run can begin. The first form has two of the STARTS or more, the second, of five words, four PAIRS.
+STARTS = ["bla", "test", "abc", "asd", "xxx", "lorem"]
+_ABOUT = ["word", "words", "line", "lines", "some", "more", "text"]
+PAIRS = [a + blank + b for a in _ABOUT for blank in " \n" for b in _ABOUT]
+#: Letters that patterns without case take for s and i, though they aren't these in lower case.
+ODD = ["ſ", "ı"]
 _NAME = r"[A-Za-z][\w.-]*"
 # The forms of slots, directives and failed substitutions.
 SLOTS = rf"""
@@ -143,11 +150,16 @@ class Detector:
 
         self.automaton = ahocorasick.Automaton()
         kinds = {"error": _phrases(ERRORS), "script": _phrases(SCRIPTS), "filler": _phrases(FILLER), "slot": OPENINGS + SIGNED}
-        kinds["run"] = ["xxx", "bla ", "blah", "test test", "text text", "some text", "more words"]
-        kinds["latin"] = ["ipsum", "nostrud", "fugiat", "cillum", "mollit", "aliqua"]
+        # the gates of the forms: whatever a form accepts holds at least so many hits of its kind
+        kinds |= {"run": STARTS + PAIRS + ODD, "latin": sorted(LATIN_RARE)}
+        kinds["slot"] += ODD
+        self.least = {"slot": 1, "run": 2, "latin": RARE}
+        by_phrase: dict[str, list[str]] = {}
         for kind, phrases in kinds.items():
             for p in phrases:
-                self.automaton.add_word(p, (kind, len(p)))
+                by_phrase.setdefault(p, []).append(kind)
+        for p, of in by_phrase.items():
+            self.automaton.add_word(p, (of, len(p)))
         self.automaton.make_automaton()
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
@@ -164,11 +176,12 @@ class Detector:
         if "“" in text or '"' in text or "„" in text or "«" in text:
             text = _unquoted(text)
             hits = list(self.automaton.iter(_lower(text)))
-        kinds = {kind for _, (kind, _) in hits}
-        out = [(kind, end + 1 - n, end + 1) for end, (kind, n) in hits if kind in ("error", "script", "filler")]
-        for kind in kinds & PATTERNS.keys():
-            out += [(kind, *m.span()) for m in PATTERNS[kind].finditer(text)]
-        if "latin" in kinds:
+        counts = Counter(kind for _, (of, _) in hits for kind in of)
+        out = [(kind, end + 1 - n, end + 1) for end, (of, n) in hits for kind in of if kind in ("error", "script", "filler")]
+        for kind, pattern in PATTERNS.items():
+            if counts[kind] >= self.least[kind]:
+                out += [(kind, *m.span()) for m in pattern.finditer(text)]
+        if counts["latin"] >= self.least["latin"]:
             out += _latin_runs(text)
         return out
 

@@ -128,3 +128,14 @@ def test_residue(spark):
     assert by[15].kinds == ["error"] and by[15].coverage == 1.0 and by[0].kinds == ["slot"] and by[18].kinds == ["script"] and by[13].kinds == ["filler"]
     assert by[len(RESIDUE) - 1].coverage < 0.001
     assert residue.residue(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_gates_are_no_narrower_than_the_forms():
+    detector, rng = residue.Detector(), random.Random(5)
+    runs = ["Lorem culpa amet sint minim dolor elit sed enim labore", "test, test, test", "asd asd asd", "lorem lorem lorem", "Bla, bla, bla", "abc. abc. abc", "teſt teſt teſt", "lıne lıne line line line", "null  null:null", "[inſert name]"]
+    runs += [" ".join([w] * 5) for w in ("words", "line", "lines", "some", "more", "text")]
+    rare = sorted(residue.LATIN_RARE)
+    runs += [" ".join(rng.sample(rare, residue.RARE) + rng.choices(residue.LATIN, k=residue.RUN - residue.RARE)) for _ in range(200)]
+    for t in runs:
+        assert detector.spans(t), t
+        assert detector.spans("In the beginning. " + t + ". And it was so."), t
