@@ -244,9 +244,9 @@ select position, fragment, count(distinct folded) as words from (select * from f
 
 
 def every() -> dict[str, tuple[Query, str | None]]:
-    from . import second_queries, stream_queries, study
+    from . import second_queries, stream_queries, study, whole_queries
 
-    return BASIC | study.STUDY | second_queries.SECOND | stream_queries.STREAMS
+    return BASIC | study.STUDY | second_queries.SECOND | stream_queries.STREAMS | whole_queries.WHOLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
