@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import many
+from ..operators import many, search, second, statistics
+from ..sources import ingest
 from ..sources.corpus import REFERENCE, Corpus
+from . import registry, second_queries, study
 from .registry import VERSION, Query, corpus, current_rows, sql, table
 from .second_queries import LETTERS, sql2
 
@@ -158,3 +160,45 @@ select reference, label, round(word, 6) as word, round(book, 6) as book, round(l
     ),
 }
 WHOLE = {name: (q, s and sql_of_versions(s)) for name, (q, s) in WHOLE.items()}
+
+
+def _tables() -> dict[str, tuple[Query, str | None]]:
+    """Queries over all verses of every version, each version a corpus: NAME_of_versions for a query NAME of one."""
+
+    def of(f: Callable[[Corpus], DataFrame], pattern: str = text.TOKEN) -> Query:
+        return of_versions(lambda spark, sf_dir, c, version: f(c), pattern)
+
+    def rows(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
+        columns = ["verse_id", "loaded_at", "corpus_version_id", "reference", "source_book_code", "display_text", "italics", "paratext"]
+        current = current_rows(table(spark, sf_dir, "scoring_verses").select(*columns), "verse_id", "loaded_at")
+        return current.where(F.col("corpus_version_id") == version).select("reference.*", *columns[4:])
+
+    found = {
+        "tokenize": of(registry._tokens),
+        "token_statistics": of(registry._rounded_statistics),
+        "corpus_scalars": of(lambda c: c.scalars),
+        "postings": of(statistics.postings),
+        "exact_word": of(lambda c: search.exact_word(c, registry.WORD).select("label", "positions", "surfaces", "total", "total_occurrences")),
+        "exact_word_case_sensitive": of(lambda c: search.exact_word(c, registry.CASED, case_sensitive=True).select("label", "positions")),
+        "exact_phrase": of(lambda c: search.exact_phrase(c, registry.PHRASE).select("label", "start_positions", "total_occurrences")),
+        "exact_phrase_case_sensitive": of(lambda c: search.exact_phrase(c, "And the", case_sensitive=True).select("label", "start_positions")),
+        "exact_phrase_spelled": of(lambda c: search.exact_phrase_spelled(c, "river, and").select("label", F.size("start_positions").alias("times"))),
+        "term_distribution": of(lambda c: search.term_distribution(c, registry.WORD)),
+        "term_first_last": of(lambda c: search.term_summary(c, registry.WORD)),
+        "corpus_bounds": of(statistics.corpus_bounds),
+        "repeated_texts": of(statistics.repeated_texts),
+        "length_survival": of(statistics.length_survival),
+        "repetition_survival": of(statistics.repetition_survival),
+        "character_frequency": of(statistics.character_frequency),
+        "segment_frequency": of(statistics.segment_frequency),
+        "chapter_sizes": of(statistics.chapter_sizes),
+        "word_values": of(second_queries._word_values, text.JOINED_TOKEN),
+        "text_identity": of(second.text_identities, text.JOINED_TOKEN),
+        "import_counts": of_versions(lambda spark, sf_dir, c, v: ingest.counts(rows(spark, sf_dir, v).select("book_order", "chapter", "italics", "paratext"))),
+        "canonical_json": of_versions(lambda spark, sf_dir, c, v: ingest.canonical_json(rows(spark, sf_dir, v)).select("value")),
+    }
+    single = registry.BASIC | study.STUDY | second_queries.SECOND
+    return {f"{name}_of_versions": (q, (s := single[name][1]) and sql_of_versions(s)) for name, q in found.items()}
+
+
+WHOLE |= _tables()

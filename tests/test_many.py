@@ -68,3 +68,13 @@ def test_every_source_is_searched_for(spark):
     found = registry.queries()["every_related_many"](spark, sf).collect()
     assert {(r.corpus_version_id, r.reference) for r in found} == wanted
     assert whole_queries.WHOLE.keys() <= registry.queries().keys()
+
+
+def test_every_version_comes_out(spark):
+    sf = "/root/testdata/sf0.001"
+    wanted = {r.corpus_version_id: r["count"] for r in whole_queries.current(spark, sf).groupBy("corpus_version_id").count().collect()}
+    assert len(wanted) > 1
+    found = registry.queries()["corpus_scalars_of_versions"](spark, sf).collect()
+    assert {r.corpus_version_id: r.corpus_size for r in found} == wanted
+    found = registry.queries()["canonical_json_of_versions"](spark, sf).groupBy("corpus_version_id").count().collect()
+    assert {r.corpus_version_id: r["count"] for r in found} == wanted
