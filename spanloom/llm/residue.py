@@ -31,7 +31,7 @@ ERRORS = """
 service unavailable|400 bad request|410 gone|page introuvable|página no encontrada|pagina no encontrada|seite nicht gefunden
 die angeforderte seite existiert nicht|page not found|was not found on this server|cannot get /|cannot post /
 nosuchkey|the specified key does not exist|you don't have permission to|you do not have permission to
-access denied. |too many requests|you have been rate limited|rate limit exceeded|request blocked. incident
+access denied.|too many requests|you have been rate limited|rate limit exceeded|request blocked. incident
 connection timed out|connection refused|connection reset by peer|error establishing a database connection
 fatal error:|uncaught exception|traceback (most recent call last)|typeerror:|cannot read propert|keyerror:|valueerror:
 attributeerror:|indexerror:|runtimeerror:|syntaxerror:|referenceerror:|nameerror:|zerodivisionerror:|nullpointerexception
@@ -53,12 +53,14 @@ enable scripts in your browser|enable scripting|works best with js|enable js and
 """
 FILLER = """
 blindtext|platzhaltertext|hier steht später|texte provisoire|à remplacer par|texto de relleno|sustituir antes de publicar
-placeholder text|replace it before release|sample text. |dummy paragraph|dummy text|body copy goes here|heading level two
+placeholder text|replace it before release|sample text.|dummy paragraph|dummy text|body copy goes here|heading level two
 your commentary text goes here|your text goes here|text goes here|type the passage here|click to edit this
 add your own content|add a short summary of the chapter|description coming soon|content coming soon|[text to follow]
 [text follows]|lorem ipsum|insert text here|texte à venir|texto pendiente|text folgt noch|faux texte
 asdf|qwer qwer|zxcv|foo bar|bar baz|baz foo|qux foo|blah blah blah|bla bla bla|test test test|abc abc abc|123 abc|aaaa bbbb
 """
+#: Phrases that end their sentence: a blank, a line's or the text's end must follow.
+CLOSED = {"access denied.", "sample text."}
 #: Words of the customary filler: a run of RUN of them, with RARE or more that ordinary Latin hardly has.
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 LATIN_RARE = set("lorem ipsum amet consectetur adipiscing elit eiusmod incididunt aliqua minim nostrud ullamco laboris aliquip commodo irure reprehenderit cillum fugiat pariatur excepteur sint occaecat cupidatat proident culpa deserunt mollit laborum".split())
@@ -159,7 +161,7 @@ class Detector:
             for p in phrases:
                 by_phrase.setdefault(p, []).append(kind)
         for p, of in by_phrase.items():
-            self.automaton.add_word(p, (of, len(p)))
+            self.automaton.add_word(p, (of, len(p), p in CLOSED))
         self.automaton.make_automaton()
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
@@ -176,8 +178,9 @@ class Detector:
         if "“" in text or '"' in text or "„" in text or "«" in text:
             text = _unquoted(text)
             hits = list(self.automaton.iter(_lower(text)))
-        counts = Counter(kind for _, (of, _) in hits for kind in of)
-        out = [(kind, end + 1 - n, end + 1) for end, (of, n) in hits for kind in of if kind in ("error", "script", "filler")]
+        hits = [(end, hit) for end, hit in hits if not hit[2] or end + 1 == len(text) or text[end + 1].isspace()]
+        counts = Counter(kind for _, (of, *_) in hits for kind in of)
+        out = [(kind, end + 1 - n, end + 1) for end, (of, n, _) in hits for kind in of if kind in ("error", "script", "filler")]
         for kind, pattern in PATTERNS.items():
             if counts[kind] >= self.least[kind]:
                 out += [(kind, *m.span()) for m in pattern.finditer(text)]

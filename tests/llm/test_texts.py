@@ -139,3 +139,10 @@ def test_gates_are_no_narrower_than_the_forms():
     for t in runs:
         assert detector.spans(t), t
         assert detector.spans("In the beginning. " + t + ". And it was so."), t
+
+
+def test_messages_at_the_end():
+    detector = residue.Detector()
+    for phrase in ("Access denied.", "Sample text."):
+        assert all(detector.spans(t) for t in (phrase, phrase + "\nMore.", phrase + " More.", "Some. " + phrase + "\t"))
+        assert not any(detector.spans(t) for t in (phrase + "x", phrase + "5 of 7", phrase[:-1]))
