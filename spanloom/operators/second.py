@@ -533,6 +533,20 @@ def text_identities(corpus: Corpus) -> DataFrame:
     )
 
 
+def text_identity_classes(corpus: Corpus) -> DataFrame:
+    """(label, token_class, text_class, verses): of every verse whose tokens another verse has, its classes.
+
+    token_class is the first verse with the same tokens, text_class the first of these with the same
+    displayed text, so that any two verses of a class can be told apart; verses is the token class's size.
+    """
+    tokens = text.surfaces(F.col("display_text"), corpus.pattern)
+    rows = corpus.verses.select("id", "label", "display_text", F.lower(F.array_join(tokens, "\x1f")).alias("key")).where("key <> ''")
+    first = F.min_by("label", "id")
+    by_tokens = rows.groupBy("key").agg(first.alias("token_class"), F.count(F.lit(1)).alias("verses")).where("verses > 1")
+    by_text = rows.groupBy("key", "display_text").agg(first.alias("text_class"))
+    return rows.join(by_tokens, "key").join(by_text, ["key", "display_text"]).select("label", "token_class", "text_class", "verses")
+
+
 def weighted_dice(corpus: Corpus, reference: refs.Reference) -> DataFrame:
     """(label, dice): twice the common weight by the sum of weights, words weighted by length and counted
     as often as they stand."""

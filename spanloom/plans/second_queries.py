@@ -124,6 +124,17 @@ select a.label as label_a, b.label as label_b,
 from f join k using (key) join v b on b.id = k.id join v a on a.id = f.first where k.id <> f.first"""
         ),
     ),
+    "text_identity_classes": (
+        on(second.text_identity_classes),
+        sql2(
+            """, k as (select id, string_agg(folded, chr(31) order by position) as key from tok group by id
+), x as (
+  select label, first_value(label) over (partition by key order by id) as token_class,
+    first_value(label) over (partition by key, display_text order by id) as text_class, count(*) over (partition by key) as verses
+  from k join v using (id))
+select * from x where verses > 1"""
+        ),
+    ),
     "word_family": (at(_family), None),
     "related_second": (at(_related), None),
     "second_compare": (

@@ -78,3 +78,10 @@ def test_every_version_comes_out(spark):
     assert {r.corpus_version_id: r.corpus_size for r in found} == wanted
     found = registry.queries()["canonical_json_of_versions"](spark, sf).groupBy("corpus_version_id").count().collect()
     assert {r.corpus_version_id: r["count"] for r in found} == wanted
+
+
+def test_texts_that_equal_one_another_but_not_the_first(spark):
+    texts = ["And he went.", "and he WENT", "and he WENT", "And he went.", "He came."]
+    c = Corpus(spark.createDataFrame([("Genesis", 1, 1, k + 1, t) for k, t in enumerate(texts)], SCHEMA), pattern=JOINED_TOKEN)
+    got = {r.label[8:]: (r.token_class[8:], r.text_class[8:], r.verses) for r in second.text_identity_classes(c).collect()}
+    assert got == {"1:1": ("1:1", "1:1", 4), "1:2": ("1:1", "1:2", 4), "1:3": ("1:1", "1:2", 4), "1:4": ("1:1", "1:1", 4)}
