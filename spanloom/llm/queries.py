@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_roundtrip": tokenizer.p7_roundtrip,
         "p8_containers": packing.p8_containers,
         "p8_fill": packing.p8_fill,
+        "p8_sound": packing.p8_sound,
         "p9_found": residue.p9_found,
         "p9_residue": residue.p9_residue,
     }
@@ -42,4 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "p5_pairs": cooccurrence.P5_PAIRS_SQL,
         "p6_found": shared_spans.P6_SQL,
         "p6_coverage": shared_spans.P6_COVERAGE_SQL,
+        "p7_roundtrip": tokenizer.P7_ROUNDTRIP_SQL,
+        "p8_sound": packing.P8_SOUND_SQL,
     }

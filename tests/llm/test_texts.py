@@ -94,13 +94,64 @@ def test_no_items(spark):
     assert packing.containers(spark.createDataFrame([(1, 0), (2, None)], "id bigint, n bigint"), 100).count() == 2
 
 
+def check_bins(bins):
+    assert sorted(i for b in bins.items for i in b) == list(range(len(bins.sizes)))
+    assert all(b and sum(bins.sizes[i] for i in b) + left == bins.capacity and left >= 0 for b, left in zip(bins.items, bins.left))
+
+
 def test_local_search_empties_a_bin():
-    bins = packing._Bins([7, 2, 5, 3, 3], 10)
-    bins.items, bins.left = [[0, 1], [2], [3, 4]], [1, 5, 4]
-    bins.improve(8)
-    assert bins.left == [0, 0]
-    assert sorted(i for b in bins.items for i in b) == list(range(5))
-    assert all(sum(bins.sizes[i] for i in b) + left == 10 for b, left in zip(bins.items, bins.left))
+    bins = packing._Bins([7, 2, 5, 3, 3], 10, [[0, 1], [2], [3, 4]])
+    assert bins.improve() and bins.left == [0, 0]
+    check_bins(bins)
+
+
+def perfect_triples(rng, n, capacity):
+    out = []
+    for _ in range(n):
+        a = rng.randint(capacity // 5, capacity // 2)
+        b = rng.randint(capacity // 5, capacity - a - capacity // 5)
+        out += [a, b, capacity - a - b]
+    return out
+
+
+@pytest.mark.parametrize("kind, most", [("triples", 1031), ("fixed", None), ("uniform", None)])
+def test_local_search_saves_bins(kind, most):
+    rng = random.Random(11)
+    seven = [170, 211, 260, 305, 340, 390, 430]
+    sizes = {
+        "triples": perfect_triples(rng, 1000, 1000),
+        "fixed": [rng.choice(seven) for _ in range(3000)],
+        "uniform": [rng.randint(150, 500) for _ in range(3000)],
+    }[kind]
+    bins = packing._Bins(sizes, 1000)
+    bins.best_fit()
+    before, squares = len(bins.items), sum((1000 - x) ** 2 for x in bins.left)
+    bins.improve()
+    check_bins(bins)
+    assert len(bins.items) < before and sum((1000 - x) ** 2 for x in bins.left) > squares
+    assert most is None or len(bins.items) <= most
+
+
+def test_local_search_of_small_and_equal_items():
+    for sizes in ([1] * 3000, [3] * 500, [600] * 200, [1000] * 3, []):
+        bins = packing._Bins(sizes, 1000)
+        bins.best_fit()
+        bins.improve()
+        check_bins(bins)
+        per = 1000 // sizes[0] if sizes else 1
+        assert len(bins.items) == -(-len(sizes) // per)
+
+
+def test_rounds_never_add_a_bin(spark, monkeypatch):
+    rng = random.Random(12)
+    sizes = list(enumerate(perfect_triples(rng, 300, 1000)))
+    df, used = spark.createDataFrame(sizes, "id bigint, n bigint"), {}
+    monkeypatch.setattr(packing, "SHARD", 40)
+    for gain in (2.0, 0.0):  # one more round, as many as help
+        used[gain] = check_placed(packing.containers(df, 1000, gain).collect(), sizes, 1000)
+    shards = [b for b in range(0, 900, 40)]
+    alone = sum(len(packing.pack([n for _, n in sizes[b : b + 40]], 1000)) for b in shards)
+    assert used[0.0] <= used[2.0] < alone
 
 
 RESIDUE = [
