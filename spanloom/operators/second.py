@@ -103,7 +103,7 @@ class Second:
         before = Window.orderBy("book_order", "chapter").rowsBetween(Window.unboundedPreceding, -1)
         first = chapters.select("book_order", "chapter", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("cw", "cl")))
         within = Window.partitionBy("book_order", "chapter").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-        at = size.withColumns({"w": F.sum("words").over(within), "l": F.sum("letters").over(within)}).join(F.broadcast(first), ["book_order", "chapter"])  # a row a chapter
+        at = size.withColumns({"w": F.sum("words").over(within), "l": F.sum("letters").over(within)}).join(first, ["book_order", "chapter"])
         ends = lambda start, end: F.greatest(start, end - 1)
         w, l_ = F.col("cw") + F.col("w") - F.col("words"), F.col("cl") + F.col("l") - F.col("letters")
         return at.select(

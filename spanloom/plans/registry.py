@@ -34,6 +34,18 @@ def corpus(spark: SparkSession, sf_dir: str, version: int = VERSION, pattern: st
     return _prepared[key]
 
 
+def preparations() -> dict[str, Callable[[SparkSession, str], object]]:
+    """What queries find prepared in a session, by name: each makes and keeps it."""
+    from ..operators.second import Second
+    from .second_queries import joined
+
+    def second(spark: SparkSession, sf_dir: str) -> None:
+        tables = Second.of(joined(spark, sf_dir))
+        tables.vocabulary, tables.axes, tables.features
+
+    return {"prepare_corpus": corpus, "prepare_second": second}
+
+
 def probe(spark: SparkSession, sf_dir: str, nth: int = 0) -> refs.ReferenceRange:
     """The place of the current verse with the nth smallest verse_id: a reference that every table has."""
     rows = table(spark, sf_dir, "scoring_verses").where(F.col("corpus_version_id") == VERSION)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,16 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder named in spark.checkpoint.dir.
+
+    Where the session names none, one is made only if all of Spark is a single process on this
+    machine, and removed at its end. On a cluster executors wouldn't see each other's files there,
+    so that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        path = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, path, True)
+        path = f"file://{path}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/spanloom-{spark.sparkContext.applicationId}"
+    if path not in _made:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _made.add(path)
+    return path
+
+
+_made: set[str] = set()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that this application has staged. Frames that read it can't be used any more."""
+    path = own_dir(spark)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _made.discard(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, refs, text
 from ..plans.config import TESTAMENT_CUT
 from ..plans.errors import NotFound
-from ..plans.storage import shared_dir
+from ..plans.storage import own_dir
 
 REFERENCE = ["book_order", "chapter", "verse"]
 
@@ -40,7 +40,7 @@ def canonical_ids(verses: DataFrame) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("book_order", "chapter").orderBy("verse"))
     return (
         verses.withColumn("within_", within)
-        .join(F.broadcast(first), (F.col("book_order") == F.col("b_")) & (F.col("chapter") == F.col("c_")))
+        .join(first, (F.col("book_order") == F.col("b_")) & (F.col("chapter") == F.col("c_")))
         .withColumn("id", (F.col("first_") + F.col("within_") - 1).cast("bigint"))
         .drop("b_", "c_", "first_", "within_")
     )
@@ -175,7 +175,7 @@ class Corpus:
 
     def prepared(self) -> Corpus:
         """The same corpus over tables written to the shared folder: an index that is built once."""
-        path = f"{shared_dir(self.spark)}/corpus-{uuid.uuid4().hex}"
+        path = f"{own_dir(self.spark)}/corpus-{uuid.uuid4().hex}"
         self.write(path)
         return Corpus.read(self.spark, path, self.version, self.pattern)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.storage import shared_dir
+from ..plans.storage import own_dir
 
 
 def term_counts(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -31,7 +31,7 @@ def refresh(spark: SparkSession, source: str, schema, where: str | None = None)
     Each micro-batch replaces the table in the shared folder; the stream's progress is kept there too,
     so that a run that is lost goes on where it was.
     """
-    home = where or f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}"
+    home = where or f"{own_dir(spark)}/terms-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).parquet(source)
     query = (
         term_counts(stream)
