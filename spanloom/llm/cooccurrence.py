@@ -1,4 +1,7 @@
-"""Items that appear together: heavy-light decomposition of pair counting."""
+"""Items that appear together: heavy-light decomposition of pair counting.
+
+The constants here choose routes, bounds of memory and block sizes. None changes a row of the result.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import current_verses, read
+from .common import current_verses, read, staged
 from .distinctive import CURRENT_SQL
 
 #: An item is heavy in a version if it stands in more than one of HEAVY_SHARE records; the number of
@@ -16,6 +19,12 @@ from .distinctive import CURRENT_SQL
 HEAVY_SHARE, HEAVIEST = 400, 1024
 #: Pairs that a task expands at a time.
 BLOCK = 1 << 21
+#: Versions whose counts a task holds at a time.
+HELD = 4
+#: Frequent items of all versions that are told to tasks; those of further versions go the way of light ones.
+LISTED = 1 << 16
+#: Bits of the map of items that are frequent enough: what it lets through by mistake costs time, no rows.
+BITS = 1 << 23
 
 PAIRS = "version int, a bigint, b bigint, together bigint"
 
@@ -53,16 +62,27 @@ def _within(lengths):
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
-def _pair_counter(heavy: dict):
+def _pair_counter(heavy: dict, there, held: int):
     """A mapInArrow function over (version, items) rows: the pair counts of its rows.
 
-    heavy: for a version, the sorted keys of the items that are heavy and of those left out.
+    heavy: for a version, the sorted keys of the items that are heavy and of those left out. there: a
+    broadcast bit map of the items that can be in a result at all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        bits = np.frombuffer(there.value, np.uint64)
         parts: dict = {}
+
+        def out(v, blocks) -> Iterator[pa.RecordBatch]:
+            for a, b, n in blocks:
+                for at in range(0, len(a), 1 << 16):
+                    x, y, k = (z[at : at + (1 << 16)] for z in (a, b, n))
+                    yield pa.record_batch(
+                        [pa.array([v] * len(x), pa.int32()), pa.array(x), pa.array(y), pa.array(k)], names=["version", "a", "b", "together"]
+                    )
+
         for batch in batches:
             version = batch.column(0)
             sizes = np.diff(batch.column(1).offsets.to_numpy())
@@ -70,25 +90,51 @@ def _pair_counter(heavy: dict):
             group = version.dictionary_encode(null_encoding="encode")
             of_row = group.indices.to_numpy(zero_copy_only=False)
             rows = np.repeat(np.arange(len(sizes)), sizes)
+            keep = _in_bits(bits, flat)
+            rows, flat = rows[keep], flat[keep]
             for k, v in enumerate(group.dictionary.to_pylist()):
+                if v not in parts and len(parts) >= held:
+                    oldest = next(iter(parts))
+                    yield from out(oldest, parts.pop(oldest).rest())
                 mine = of_row[rows] == k
                 part = parts.setdefault(v, _Counter(*heavy.get(v, (np.array([], np.int64),) * 2)))
-                part.add(rows[mine], flat[mine])
+                yield from out(v, part.add(rows[mine], flat[mine]))
         for v, part in parts.items():
-            for a, b, n in part.counts():
-                yield pa.record_batch(
-                    [pa.array([v] * len(a), pa.int32()), pa.array(a), pa.array(b), pa.array(n)],
-                    names=["version", "a", "b", "together"],
-                )
+            yield from out(v, part.rest())
 
     return run
 
 
+def _in_bits(bits, keys):
+    """Which keys have their bit in the map."""
+    import numpy as np
+
+    at = keys.astype(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _bit_map(keys: DataFrame) -> bytes:
+    """The bit map of a column `key` of 64-bit hashes: BITS / 64 words at most come to the driver, whatever the data."""
+    import numpy as np
+
+    words = (
+        keys.select(F.expr(f"key & {BITS - 1}L").alias("at"))
+        .select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+    )
+    out = np.zeros(BITS // 64, np.int64)
+    for batch in words.toPandas().itertuples(index=False):
+        out[batch.word] = batch.bits
+    return out.tobytes()
+
+
 class _Counter:
     """Counts of pairs of one version's items in a task.
 
     Heavy with heavy: popcounts of the intersections of bit rows. Mixed: for each light item of a
     record, its record's list of heavy items is probed. Light with light: pairs are hash-counted.
+    Light and mixed pairs leave when a block of different ones is full, so that memory is bounded.
     """
 
     def __init__(self, heavy, omitted):
@@ -96,11 +142,11 @@ class _Counter:
 
         self.heavy, self.omitted = heavy, omitted
         self.dense = np.zeros((len(heavy), len(heavy)), np.int64)
-        self.light: list = []  # (a, b, n) sorted by a and b
         self.waiting: list = []
         self.waits = 0
 
-    def add(self, rows, items) -> None:
+    def add(self, rows, items):
+        """Counts the items of rows; yields blocks (a, b, n), a < b, that are full."""
         import numpy as np
 
         if len(self.omitted):
@@ -122,10 +168,10 @@ class _Counter:
         hstart = np.cumsum(hcount) - hcount
         for left, right in _expand(litem, hstart[lrow], hcount[lrow], BLOCK):
             other = self.heavy[hcol[right]]
-            self._wait(np.minimum(left, other), np.maximum(left, other))
+            yield from self._wait(np.minimum(left, other), np.maximum(left, other))
         lcount = np.bincount(lrow, minlength=n)
         for left, right in _ragged_pairs(np.cumsum(lcount) - lcount, lcount, BLOCK):
-            self._wait(litem[left], litem[right])
+            yield from self._wait(litem[left], litem[right])
 
     def _heavy_pairs(self, rows, cols, n: int) -> None:
         import numpy as np
@@ -141,16 +187,19 @@ class _Counter:
             if len(there):
                 self.dense[i, i + 1 :] += np.bitwise_count(words[i + 1 :, there] & words[i, there]).sum(axis=1, dtype=np.int64)
 
-    def _wait(self, a, b) -> None:
+    def _wait(self, a, b):
         import numpy as np
 
         self.waiting.append((a, b, np.ones(len(a), np.int64)))
         self.waits += len(a)
         if self.waits > 2 * BLOCK:
             self._combine()
+            if self.waits > BLOCK:
+                yield from self.waiting
+                self.waiting, self.waits = [], 0
 
     def _combine(self) -> None:
-        """Equal pairs of what waits are added up; what is large enough by then is laid aside."""
+        """Equal pairs of what waits are added up."""
         import numpy as np
 
         if not self.waiting:
@@ -160,21 +209,16 @@ class _Counter:
         a, b, n = a[order], b[order], n[order]
         starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         self.waiting, self.waits = [(a[starts], b[starts], np.add.reduceat(n, starts))], len(starts)
-        if self.waits > BLOCK:
-            self.light += self.waiting
-            self.waiting, self.waits = [], 0
 
-    def counts(self):
-        """Blocks of (a, b, n), a < b; a pair can come in several."""
+    def rest(self):
+        """What hasn't come out yet, in blocks; a pair can come in several."""
         import numpy as np
 
         i, j = np.nonzero(self.dense)
         if len(i):
             yield self.heavy[i], self.heavy[j], self.dense[i, j]
         self._combine()
-        for a, b, n in self.light + self.waiting:
-            for at in range(0, len(a), 1 << 16):
-                yield a[at : at + (1 << 16)], b[at : at + (1 << 16)], n[at : at + (1 << 16)]
+        yield from self.waiting
 
 
 def _in_sorted(keys, values):
@@ -195,25 +239,27 @@ def pairs_together(records: DataFrame, least: int = 8, lift: float = 10.0) -> Da
     with null terms count in n only. A term repeated in a record counts once.
 
     A term in more than n / lift records can be in no such pair (together is at most the smaller
-    df), so those, with lift > 0, are left out before any pair is formed; nothing else is. Terms are
-    64-bit hashes until the end. The table of heavy and left-out items that tasks get is bounded:
-    at most HEAVIEST heavy ones, and lift times a record's average number of items left out.
+    df), nor can one in fewer than `least`. Those are left out before any pair is formed: the former
+    by a list of LISTED at most (further ones are left out at the end), the latter by
+    a bit map of fixed size over the hashes of the others; nothing else is left out. Terms are
+    64-bit hashes until the end.
     """
     size = records.groupBy(F.col("version").alias("version_n")).agg(F.count(F.lit(1)).alias("n"))
     keyed = records.where("terms is not null").select("version", F.array_distinct("terms").alias("terms"))
-    df = (
+    df = staged(
         keyed.select("version", F.explode("terms").alias("term"))
         .groupBy("version", "term")
         .agg(F.count(F.lit(1)).alias("df"))
         .where(F.col("df") >= least)
         .withColumn("key", F.xxhash64("term"))
-        .join(F.broadcast(size), F.col("version").eqNullSafe(F.col("version_n")))
+        .join(F.broadcast(size), F.col("version").eqNullSafe(F.col("version_n")))  # a row a version
         .drop("version_n")
     )
     frequent = df.where(F.col("df") * HEAVY_SHARE > F.col("n"))
+    there = records.sparkSession.sparkContext.broadcast(_bit_map(df.where(F.col("df") * lift <= F.col("n"))))
     items = keyed.select("version", F.transform("terms", lambda t: F.xxhash64(t)).alias("items"))
     counted = (
-        items.mapInArrow(_pair_counter(_heavy(frequent, lift)), PAIRS)
+        items.mapInArrow(_pair_counter(_heavy(frequent, lift), there, HELD), PAIRS)
         .groupBy("version", "a", "b")
         .agg(F.sum("together").alias("together"))
         .where(F.col("together") >= least)
@@ -247,11 +293,12 @@ def pairs_together(records: DataFrame, least: int = 8, lift: float = 10.0) -> Da
 
 
 def _heavy(frequent: DataFrame, lift: float) -> dict:
-    """{version: (sorted keys of heavy items, sorted keys of left-out items)}."""
+    """{version: (sorted keys of heavy items, sorted keys of left-out items)}: at most LISTED, of the largest versions."""
     import numpy as np
 
     by: dict = {}
-    for r in frequent.select("version", "key", "df", (F.col("df") * lift > F.col("n")).alias("out")).toLocalIterator():
+    first = frequent.orderBy(F.desc("n"), "version", F.desc("df"), "key").limit(LISTED)
+    for r in first.select("version", "key", "df", (F.col("df") * lift > F.col("n")).alias("out")).toLocalIterator():
         by.setdefault(r.version, ([], []))[r.out].append((-r.df, r.key))
     return {
         v: tuple(np.array(sorted(k for _, k in sorted(x)[: len(x) if out else HEAVIEST]), np.int64) for out, x in enumerate(both))

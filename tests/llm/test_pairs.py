@@ -125,6 +125,29 @@ def test_together(spark, monkeypatch, seed, least, lift, heaviest):
     assert {(r.version, r.term_a, r.term_b): r.together for r in got} == brute_together(rows, least, lift)
 
 
+@pytest.mark.parametrize("name, size", [("HELD", 1), ("LISTED", 2), ("BITS", 64), ("HEAVY_SHARE", 2), ("HEAVY_SHARE", 100_000)])
+def test_routes_change_no_pair(spark, monkeypatch, name, size):
+    monkeypatch.setattr(cooccurrence, name, size)
+    monkeypatch.setattr(cooccurrence, "BLOCK", 32)
+    rng = random.Random(6)
+    weights = [1 / (k + 1) for k in range(40)]
+    rows = [(rng.choice([1, 2, 3, None]), [f"t{k}" for k in rng.choices(range(40), weights, k=rng.randint(0, 12))]) for _ in range(500)]
+    got = cooccurrence.pairs_together(spark.createDataFrame(rows, "version int, terms array<string>"), 3, 1.2).collect()
+    assert {(r.version, r.term_a, r.term_b): r.together for r in got} == brute_together(rows, 3, 1.2)
+
+
+def test_light_pairs_leave_when_a_block_is_full(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(cooccurrence, "BLOCK", 1000)
+    counter, most, total = cooccurrence._Counter(np.array([], np.int64), np.array([], np.int64)), 0, 0
+    for k in range(50):
+        blocks = list(counter.add(np.repeat(np.arange(4), 60), np.arange(k * 240, (k + 1) * 240)))
+        total += sum(int(n.sum()) for _, _, n in blocks)
+        most = max(most, counter.waits)
+    assert most <= 3000 + 60 * 30 and total + sum(int(n.sum()) for _, _, n in counter.rest()) == 50 * 4 * 60 * 59 // 2
+
+
 def test_lift(spark):
     rows = [(1, ["x", "y"])] * 8 + [(1, ["z"])] * 92
     [r] = cooccurrence.pairs_together(spark.createDataFrame(rows, "version int, terms array<string>")).select("*", F.round("lift", 4).alias("l")).collect()
