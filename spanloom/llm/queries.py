@@ -12,6 +12,7 @@ from . import cooccurrence, distinctive, packing, residue, shared_spans, similar
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": similar_sets.p1_found,
+        "p1_classes": similar_sets.p1_classes,
         "p2_found": distinctive.p2_found,
         "p2_residuals": distinctive.p2_residuals,
         "p3_found": term_counts.p3_found,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": similar_sets.P1_SQL,
+        "p1_classes": similar_sets.P1_CLASSES_SQL,
         "p2_found": distinctive.P2_SQL,
         "p2_residuals": distinctive.P2_RESIDUALS_SQL,
         "p3_found": term_counts.P3_SQL,

@@ -11,8 +11,13 @@ therefore a group key, whole and with each one of its items deleted.
 A key that many records share (a segment that is empty, or holds only very common items) is hot.
 Its group isn't enumerated: each record joins its hot keys two by two, of different segments, into
 new keys. A pair with a key that isn't hot is found by that one, and any other has two hot keys in
-different segments. Groups that are large even then are cut into parts, and every two parts are a
-task of bounded size. Nothing is dropped either way.
+different segments. What is large even then is split again by another hash of the items, within the
+group: its pairs agree in two of the new segments as well. After LEVELS such levels groups that are
+still large are cut into parts, and every two parts are a task of bounded size.
+
+No task gets a hot key's entries: where a block of records has many of them, they go to their
+records at once, or to the next level, and only a mark that the key is hot goes to the key's task.
+Which keys are taken for hot decides the way of a pair, not whether it is found: any key may be.
 
 Between the candidates and the exact check stands a test without false negatives: the bits by which
 two sets' parity sketches differ are at most the number of items in which the sets differ.
@@ -28,18 +33,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import current_verses, read, width
+from .common import current_verses, read, staged, width
 from .cooccurrence import _expand, _ragged_pairs, _within
 from .distinctive import CURRENT_SQL
 
-#: A group of more entries is hot in the first round; one of more in the second is enumerated by several tasks.
-HOT, LARGE = 96, 4096
+#: A group of more entries is hot in the first round; one of more in the second is split anew.
+#: Entries of one key in a block of records beyond which it is taken for such without being counted.
+HOT, LARGE, MANY = 96, 4096, 24
+#: How often groups are split anew before they are cut into parts.
+LEVELS = 2
+#: Buckets a partition: a task holds one at a time, in the compact form in which it is shuffled.
+BUCKETS = 4
 #: Entries of a batch that are written in one block a bucket; pairs tested at a time.
 BLOCK = 1 << 20
 #: The blocks that are shuffled: 32 bits of the key (the bucket has the others), and for each entry
-#: twice the place of its record in the block's table of records, plus 1 if an item is deleted.
-BLOCKS = "bucket int, keys binary, refs binary, ids binary, sketches binary, sizes binary"
-FOUND = f"id_a bigint, id_b bigint, {BLOCKS}"
+#: twice the place of its record in the block's table of records, plus 1 if an item is deleted; and
+#: the keys of the bucket that are known to be hot.
+BLOCKS = "bucket int, keys binary, refs binary, ids binary, sketches binary, sizes binary, marks binary"
+#: A pair, or a record and the group that it is to be split in, or a block.
+FOUND = f"id_a bigint, id_b bigint, `group` bigint, {BLOCKS}"
 
 
 def differ(s, l, t: float):
@@ -76,12 +88,12 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def _signed(t: float):
-    """(ids, items) of a batch to entries (key, record, deleted) and the records' sketches and sizes."""
+def _signed(t: float, level: int):
+    """Sizes, items and groups of records to entries (key, record, deleted) and the records' sketches."""
     import numpy as np
 
-    def run(sizes, items):
-        h = mix(items)
+    def run(sizes, items, groups):
+        h = mix(items ^ np.int64(level * 0x2545F4914F6CDD1D)) if level else mix(items)
         rows = np.repeat(np.arange(len(sizes)), sizes)
         bit = np.left_shift(np.uint64(1), h & np.uint64(63))
         starts = np.cumsum(sizes) - sizes
@@ -110,7 +122,7 @@ def _signed(t: float):
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             total[at[first]] = np.add.reduceat(value[order], first)
         which = np.repeat(olev, om).astype(np.uint64) << np.uint64(32) | _within(om).astype(np.uint64)
-        salt = mix(which + np.uint64(1))
+        salt = mix(which + np.uint64(1)) ^ groups.view(np.uint64)[np.repeat(orec, om)]
         key = np.concatenate((mix(total ^ salt), mix((total[place] - value) ^ salt[place])))
         record = np.concatenate((np.repeat(orec, om), orec[occ]))
         deleted = np.zeros(len(key), bool)
@@ -120,30 +132,48 @@ def _signed(t: float):
     return run
 
 
-def _write(key, ref, ids, sketch, size, buckets: int) -> Iterator[tuple]:
+def _write(key, ref, ids, sketch, size, buckets: int, marks=None) -> Iterator[tuple]:
     """Entries in a block a bucket; only the records that a block names are in its table."""
     import numpy as np
 
-    bucket = (key >> np.uint64(32)) % np.uint64(buckets)
+    split = lambda k: ((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    bucket = split(key)
     order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    marks = np.zeros(0, np.uint64) if marks is None else marks
+    of_mark = split(marks)
     for b in range(buckets):
         mine = order[(ends[b - 1] if b else 0) : ends[b]]
-        if len(mine):
+        hot = marks[of_mark == b]
+        if len(mine) or len(hot):
             used, place = np.unique(ref[mine] >> 1, return_inverse=True)
             yield (
                 b,
                 # the bucket has the remainder of the upper half, the block the quotient's and lower half's bits mixed
-                (key[mine] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
+                _lower_half(key[mine]).tobytes(),
                 (place << 1 | ref[mine] & 1).astype(np.uint32).tobytes(),
                 ids[used].tobytes(),
                 sketch[used].tobytes(),
                 size[used].astype(np.int32).tobytes(),
+                _lower_half(hot).tobytes(),
             )
 
 
+def _lower_half(key):
+    import numpy as np
+
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _whole(low, bucket):
+    """The key of a group in one number: the 32 bits that blocks have of it, and its bucket's."""
+    import numpy as np
+
+    return low.astype(np.uint64) << np.uint64(32) | np.uint64(bucket)
+
+
 def _read(rows: list[dict]):
-    """(key, record, deleted, ids, sketches, sizes) of blocks of one bucket."""
+    """(key, record, deleted, ids, sketches, sizes, marks) of blocks of one bucket."""
     import numpy as np
 
     from_ = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
@@ -157,40 +187,72 @@ def _read(rows: list[dict]):
         np.concatenate(ids),
         np.concatenate(from_("sketches", np.uint64)),
         np.concatenate(from_("sizes", np.int32)).astype(np.int64),
+        np.unique(np.concatenate(from_("marks", np.uint32))).astype(np.uint64),
     )
 
 
-def _batch(schema_names, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "id_a": pa.int64(), "id_b": pa.int64()}
-    columns = zip(*rows) if rows else [[]] * len(schema_names)
-    return pa.record_batch([pa.array(c, kinds.get(n, pa.binary())) for n, c in zip(schema_names, columns)], names=schema_names)
+_BLOCK_NAMES = ["bucket", "keys", "refs", "ids", "sketches", "sizes", "marks"]
+_FOUND_NAMES = ["id_a", "id_b", "group", *_BLOCK_NAMES]
 
 
-_BLOCK_NAMES = ["bucket", "keys", "refs", "ids", "sketches", "sizes"]
-_FOUND_NAMES = ["id_a", "id_b", *_BLOCK_NAMES]
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(_BLOCK_NAMES)
+    return pa.record_batch([pa.array(c, pa.int32() if n == "bucket" else pa.binary()) for n, c in zip(_BLOCK_NAMES, columns)], names=_BLOCK_NAMES)
 
 
-def _pairs_batch(a, b) -> pa.RecordBatch:
+def _found_blocks(rows: list[tuple]) -> pa.RecordBatch:
+    blocks = _batch(rows)
+    return pa.record_batch([pa.nulls(len(rows), pa.int64())] * 3 + blocks.columns, names=_FOUND_NAMES)
+
+
+def _no_blocks(a, b, group) -> pa.RecordBatch:
     none = [pa.nulls(len(a), pa.int32()), *(pa.nulls(len(a), pa.binary()) for _ in _BLOCK_NAMES[1:])]
-    return pa.record_batch([pa.array(a), pa.array(b), *none], names=_FOUND_NAMES)
+    return pa.record_batch([pa.array(a), b, group, *none], names=_FOUND_NAMES)
+
 
+def _pairs_batch(a, b) -> pa.RecordBatch:
+    return _no_blocks(a, pa.array(b), pa.nulls(len(a), pa.int64()))
+
+
+def _members(ids, group) -> pa.RecordBatch:
+    """Records that are to be split anew within their groups."""
+    import numpy as np
+
+    both = np.unique(np.stack((ids, group.view(np.int64)), 1), axis=0)
+    return _no_blocks(both[:, 0], pa.nulls(len(both), pa.int64()), pa.array(both[:, 1]))
+
+
+def _many(key, most: int):
+    """The keys that stand more than `most` times among these, ascending; and whether each entry has one."""
+    import numpy as np
 
-def _first(t: float, buckets: int):
-    """(id, items) rows to blocks of the first round."""
+    names, place, counts = np.unique(key, return_inverse=True, return_counts=True)
+    return names[counts > most], (counts > most)[place]
+
+
+def _first(t: float, level: int, buckets: int, hot: bool, many: int):
+    """(id, group, items) rows to blocks of the first round: of hot entries by record, or of the others by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        sign = _signed(t)
+        sign = _signed(t, level)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sizes = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64)
-            items = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            ids, groups = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            sizes = np.diff(batch.column(2).offsets.to_numpy()).astype(np.int64)
+            items = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             for lo, hi in _chunks(sizes):
                 upto = int(sizes[:lo].sum())
                 part = sizes[lo:hi]
-                key, record, deleted, sketch = sign(part, items[upto : upto + int(part.sum())])
-                yield _batch(_BLOCK_NAMES, list(_write(key, record << 1 | deleted, ids[lo:hi], sketch, part, buckets)))
+                key, record, deleted, sketch = sign(part, items[upto : upto + int(part.sum())], groups[lo:hi])
+                marks, is_hot = _many(key, many)
+                keep = is_hot if hot else ~is_hot
+                key, record, deleted = key[keep], record[keep], deleted[keep]
+                if hot:
+                    whole = _whole(_lower_half(key), 0) | (key >> np.uint64(32)) % np.uint64(buckets)
+                    yield _batch(list(_hot_blocks(whole, record, deleted, ids[lo:hi], sketch, part, buckets)))
+                else:
+                    yield _batch(list(_write(key, record << 1 | deleted, ids[lo:hi], sketch, part, buckets, marks)))
 
     return run
 
@@ -207,38 +269,56 @@ def _chunks(sizes):
         lo = hi
 
 
-def _matched(t: float, buckets: int, hot: int | None = None, large: int | None = None):
-    """Blocks sorted by bucket to pairs, and to blocks of the entries of groups larger than `hot` or `large`.
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each bucket, of batches sorted by bucket."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["bucket"] != row["bucket"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _matched(t: float, buckets: int, hot: int | None = None, large: int | None = None, cut: bool = False):
+    """Blocks sorted by bucket to pairs, and to the entries of groups larger than `hot` or `large`, or marked so.
 
-    The hot ones are in buckets by record. Their keys' other bits are the bucket's number. Large
-    groups are cut into parts, and every two parts get a key of their own.
+    The hot ones come out in blocks by record. Large groups' records come out with the group that they
+    are to be split in; if they are to be cut, they are cut into parts, and every two parts get a key
+    of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def bucket_done(rows: list[dict]):
-            key, record, deleted, ids, sketch, size = _read(rows)
+        for rows in _by_bucket(batches):
+            key, record, deleted, ids, sketch, size, marks = _read(rows)
+            bucket = rows[0]["bucket"]
+            if not len(key):
+                continue
             order = np.argsort(key, kind="stable")
             k = key[order]
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             lengths = np.diff(np.append(starts, len(k)))
             many = lengths > 1
-            if hot:
-                wide = many & (lengths > hot)
+            if hot or large:
+                wide = (lengths > (hot or large)) | np.isin(k[starts], marks)
                 many &= ~wide
                 mine = order[np.repeat(starts[wide], lengths[wide]) + _within(lengths[wide])]
-                if len(mine):
-                    whole = key[mine] << np.uint64(32) | np.uint64(rows[0]["bucket"])
-                    yield _batch(_FOUND_NAMES, [(None, None, *x) for x in _hot_blocks(whole, record[mine], deleted[mine], ids, sketch, size, buckets)])
-            if large:
-                for g in np.flatnonzero(lengths > large):
-                    group = order[starts[g] : starts[g] + lengths[g]]
-                    whole = key[group[0]] << np.uint64(32) | np.uint64(rows[0]["bucket"])
-                    for part in _part_pairs(group, ids[record[group]], whole, large):
-                        entries = record[part[1]] << 1 | deleted[part[1]]
-                        yield _batch(_FOUND_NAMES, [(None, None, *x) for x in _write(part[0], entries, ids, sketch, size, buckets)])
-                many &= lengths <= large
+                if not len(mine):
+                    pass
+                elif hot:
+                    yield _found_blocks(list(_hot_blocks(_whole(key[mine], bucket), record[mine], deleted[mine], ids, sketch, size, buckets)))
+                elif not cut:
+                    yield _members(ids[record[mine]], mix(_whole(key[mine], bucket)))
+                else:
+                    for g in np.flatnonzero(wide):
+                        group = order[starts[g] : starts[g] + lengths[g]]
+                        for part in _part_pairs(group, ids[record[group]], _whole(key[group[:1]], bucket)[0], large):
+                            entries = record[part[1]] << 1 | deleted[part[1]]
+                            yield _found_blocks(list(_write(part[0], entries, ids, sketch, size, buckets)))
             for i, j in _ragged_pairs(starts[many], lengths[many], BLOCK):
                 a, b = order[i], order[j]
                 keep = ~(deleted[a] & deleted[b])
@@ -251,16 +331,6 @@ def _matched(t: float, buckets: int, hot: int | None = None, large: int | None =
                     both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
                     yield _pairs_batch(both[:, 0], both[:, 1])
 
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["bucket"] != row["bucket"]:
-                    yield from bucket_done(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from bucket_done(held)
-
     return run
 
 
@@ -268,7 +338,7 @@ def _part_pairs(group, ids, key, large: int):
     """(keys, entries) for every two parts of a group that is cut into parts of about `large` / 2 entries by id."""
     import numpy as np
 
-    n = -(-2 * len(group) // large)
+    n = max(2, -(-2 * len(group) // large))
     of = (mix(ids ^ np.int64(0x5DEECE66D)) % np.uint64(n)).astype(np.int64)
     order = np.argsort(of, kind="stable")
     ends = np.cumsum(np.bincount(of, minlength=n))
@@ -298,20 +368,23 @@ def _hot_blocks(key, record, deleted, ids, sketch, size, buckets: int):
                 ids[used].tobytes(),
                 sketch[used].tobytes(),
                 size[used].astype(np.int32).tobytes(),
+                b"",
             )
 
 
-def _second(buckets: int):
+def _second(buckets: int, large: bool, many: int):
     """Blocks of hot entries by record to blocks of the second round, whose keys are two hot keys.
 
-    A hot key carries no segment: keys of one segment of a record, whole and less one item, are
-    joined too. That adds groups that aren't needed, and loses none.
+    Keys that many records of a bucket have are marked and left out; if `large`, their records come out
+    instead, with the group that they are to be split in. A hot key carries no segment: keys of one
+    segment of a record, whole and less one item, are joined too. That adds groups that aren't needed,
+    and loses none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def bucket_done(rows: list[dict]):
+        for rows in _by_bucket(batches):
             ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
             sketch = np.concatenate([np.frombuffer(r["sketches"], np.uint64) for r in rows])
             size = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows])
@@ -326,20 +399,17 @@ def _second(buckets: int):
             starts = np.flatnonzero(np.concatenate(([True], record[1:] != record[:-1])))
             lengths = np.diff(np.append(starts, len(record)))
             for i, j in _ragged_pairs(starts, lengths, BLOCK):
-                both = mix(key[i]) + key[j]
+                both = mix(mix(key[i]) + key[j])
                 # the pair's entry is marked deleted only where both are: two such never need to meet
                 mark = deleted[i] & deleted[j]
-                yield _batch(_BLOCK_NAMES, list(_write(mix(both), record[i] << 1 | mark, ids, sketch, size, buckets)))
-
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["bucket"] != row["bucket"]:
-                    yield from bucket_done(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from bucket_done(held)
+                marks, is_large = _many(both, many)
+                if large:
+                    if len(marks):
+                        group = _whole(_lower_half(both[is_large]), 0) | (both[is_large] >> np.uint64(32)) % np.uint64(buckets)
+                        yield _members(ids[record[i][is_large]], mix(group))
+                else:
+                    keep = ~is_large
+                    yield _batch(list(_write(both[keep], record[i][keep] << 1 | mark[keep], ids, sketch, size, buckets, marks)))
 
     return run
 
@@ -347,22 +417,38 @@ def _second(buckets: int):
 def candidates(records: DataFrame, t: float) -> DataFrame:
     """(id_a, id_b), id_a < id_b: each pair of records (id, items) that can be similar, once.
 
-    items are distinct 64-bit hashes, at least one a record; ids are distinct.
+    items are distinct 64-bit hashes, at least one a record; ids are distinct. Each round's outcome is
+    staged: what several branches read is made once.
     """
-    spark = records.sparkSession
-    buckets = width(spark)
+    parts = width(records.sparkSession)
+    buckets = parts * BUCKETS
 
     def by_bucket(blocks: DataFrame) -> DataFrame:
-        # a partition a bucket: hashing the few bucket numbers would leave some partitions empty, others with several
-        return blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
-
-    first = by_bucket(records.select("id", "items").mapInArrow(_first(t, buckets), BLOCKS))
-    found = first.mapInArrow(_matched(t, buckets, hot=HOT), FOUND)
-    hot = by_bucket(found.where("bucket is not null").select(*_BLOCK_NAMES))
-    again = by_bucket(hot.mapInArrow(_second(buckets), BLOCKS)).mapInArrow(_matched(t, buckets, large=LARGE), FOUND)
-    parted = by_bucket(again.where("bucket is not null").select(*_BLOCK_NAMES)).mapInArrow(_matched(t, buckets), FOUND)
-    every = found.where("bucket is null").select("id_a", "id_b")
-    for more in (again.where("bucket is null"), parted):
+        # hashing the few bucket numbers would leave some partitions empty, others with several
+        return blocks.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket")
+
+    rows, pairs = records.select("id", F.lit(0).cast("bigint").alias("group"), "items"), []
+    for level in range(LEVELS):
+        last = level == LEVELS - 1
+        by_key, by_record = (rows.mapInArrow(_first(t, level, buckets, hot, MANY), BLOCKS) for hot in (False, True))
+        found = staged(by_bucket(by_key).mapInArrow(_matched(t, buckets, hot=HOT), FOUND))
+        hot = by_bucket(by_record.unionAll(found.where("bucket is not null").select(*_BLOCK_NAMES)))
+        # at the last level nothing is marked: groups are cut where they are whole
+        many = BLOCK * BLOCK if last else LARGE // 2
+        twice = by_bucket(hot.mapInArrow(_second(buckets, False, many), BLOCKS))
+        again = staged(twice.mapInArrow(_matched(t, buckets, large=LARGE, cut=last), FOUND))
+        pairs += [x.where("id_b is not null") for x in (found, again)]
+        if last:
+            parted = by_bucket(again.where("bucket is not null").select(*_BLOCK_NAMES))
+            pairs.append(parted.mapInArrow(_matched(t, buckets), FOUND))
+            break
+        at_once = hot.mapInArrow(_second(buckets, True, many), FOUND)
+        members = staged(again.unionAll(at_once).where("`group` is not null").select(F.col("id_a").alias("id"), "group").distinct())
+        if members.isEmpty():
+            break
+        rows = members.join(records, "id").select("id", "group", "items")
+    every = pairs[0].select("id_a", "id_b")
+    for more in pairs[1:]:
         every = every.unionAll(more.select("id_a", "id_b"))
     return every.distinct()
 
@@ -376,14 +462,9 @@ def representatives(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, keyed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
 
-def similar_pairs(records: DataFrame, t: float = 0.75) -> DataFrame:
-    """(id_a, id_b, shared, similarity), id_a < id_b, of records (id, terms) whose sets of terms have
-    at least one term each and Jaccard similarity t or more.
-
-    Null and empty terms' records are in no pair; a term's repetitions don't count; ids are distinct.
-    Records with the same set are one class while pairs are searched, so copies cost nothing there;
-    at the end each pair of classes is joined with its members, every link coming out.
-    """
+def _similar_sets(records: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of records (id, terms): rows (id, terms, key), classes and their sets, and the pairs of similar
+    classes (key_a, key_b, shared, total)."""
     keyed = (
         records.where("size(terms) > 0")
         .select("id", F.sort_array(F.array_distinct("terms")).alias("terms"))
@@ -400,6 +481,18 @@ def similar_pairs(records: DataFrame, t: float = 0.75) -> DataFrame:
     verified = pairs.select("key_a", "key_b", shared.alias("shared"), total.alias("total")).where(
         F.col("shared") >= (F.col("total") - F.col("shared")) * t
     )
+    return keyed, classes, sets, verified
+
+
+def similar_pairs(records: DataFrame, t: float = 0.75) -> DataFrame:
+    """(id_a, id_b, shared, similarity), id_a < id_b, of records (id, terms) whose sets of terms have
+    at least one term each and Jaccard similarity t or more.
+
+    Null and empty terms' records are in no pair; a term's repetitions don't count; ids are distinct.
+    Records with the same set are one class while pairs are searched, so copies cost nothing there;
+    at the end each pair of classes is joined with its members, every link coming out.
+    """
+    keyed, classes, sets, verified = _similar_sets(records, t)
     copied = classes.where("copies > 1").select(F.col("rep").alias("id")).join(sets, "id")
     twins = copied.select(
         F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.size("terms").alias("shared"), (2 * F.size("terms")).alias("total")
@@ -416,12 +509,38 @@ def similar_pairs(records: DataFrame, t: float = 0.75) -> DataFrame:
     )
 
 
+def similar_classes(records: DataFrame, t: float = 0.75) -> DataFrame:
+    """(id, class, links): a row a record (id, terms) with terms, linear in copies.
+
+    class is the least id of the records with the same set; links is the number of other records whose
+    set is similar, those with the same set included.
+    """
+    keyed, classes, _, verified = _similar_sets(records, t)
+    ends = verified.select("key_a", "key_b").unionAll(verified.select(F.col("key_b"), F.col("key_a")))
+    others = (
+        ends.join(classes.select(F.col("key").alias("key_b"), "copies"), "key_b")
+        .groupBy(F.col("key_a").alias("key"))
+        .agg(F.sum("copies").alias("others"))
+    )
+    counted = classes.join(others, "key", "left").select(
+        "key", F.col("rep").alias("class"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links")
+    )
+    return keyed.select("id", "key").join(counted, "key").select("id", "class", "links")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     verses = current_verses(read(spark, sf_dir, "scoring_verses"))
     pairs = similar_pairs(verses.select(F.col("verse_id").alias("id"), "terms"))
     return pairs.select(F.col("id_a").alias("verse_a"), F.col("id_b").alias("verse_b"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each current verse with terms, the class of verses with its set, and how many verses are similar to it."""
+    verses = current_verses(read(spark, sf_dir, "scoring_verses"))
+    rows = similar_classes(verses.select(F.col("verse_id").alias("id"), "terms"))
+    return rows.select(F.col("id").alias("verse_id"), F.col("class").alias("class_id"), "links")
+
+
 P1_SQL = f"""
 with {CURRENT_SQL}, s as (
   select verse_id, list_distinct(terms) as terms from cv where len(terms) > 0
@@ -434,3 +553,11 @@ with {CURRENT_SQL}, s as (
 )
 select verse_a, verse_b from c where shared * 4 >= (total - shared) * 3
 """
+
+P1_CLASSES_SQL = f"""
+with {CURRENT_SQL}, k as (
+  select verse_id, array_to_string(list_sort(list_distinct(terms)), chr(31)) as key from cv where len(terms) > 0
+), p as ({P1_SQL}), e as (select verse_a as verse_id from p union all select verse_b from p
+), l as (select verse_id, count(*) as links from e group by verse_id)
+select verse_id, min(verse_id) over (partition by key) as class_id, coalesce(links, 0) as links from k left join l using (verse_id)
+"""

@@ -36,10 +36,10 @@ def brute_sets(rows, t):
     return out
 
 
-@pytest.mark.parametrize("seed, t, hot, large", [(1, 0.75, 96, 4096), (2, 0.75, 3, 4), (3, 0.6, 2, 2), (4, 0.9, 96, 4096), (5, 0.5, 2, 8)])
-def test_similar_pairs(spark, monkeypatch, seed, t, hot, large):
-    monkeypatch.setattr(similar_sets, "HOT", hot)
-    monkeypatch.setattr(similar_sets, "LARGE", large)
+@pytest.mark.parametrize("seed, t, hot, large, many, levels", [(1, 0.75, 96, 4096, 24, 3), (2, 0.75, 3, 4, 2, 1), (3, 0.6, 16, 40, 24, 2), (4, 0.9, 12, 30, 4, 3)])
+def test_similar_pairs(spark, monkeypatch, seed, t, hot, large, many, levels):
+    for name, size in (("HOT", hot), ("LARGE", large), ("MANY", many), ("LEVELS", levels)):
+        monkeypatch.setattr(similar_sets, name, size)
     rows = sets_of(random.Random(seed), 220)
     rows += [(900, None), (901, []), (902, ["x"]), (903, ["x", "x"]), (904, ["t1"] * 50)]
     got = similar_sets.similar_pairs(spark.createDataFrame(rows, RECORDS), t).collect()
@@ -47,6 +47,40 @@ def test_similar_pairs(spark, monkeypatch, seed, t, hot, large):
     assert len(got) == len({(r.id_a, r.id_b) for r in got}) and (902, 903) in {(r.id_a, r.id_b) for r in got}
 
 
+def test_a_key_of_a_hundred_thousand_entries():
+    """No task holds a hot key's entries: they leave at once, and a mark goes to the key's bucket."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(3), 100_000
+    # twelve items each, all of one of four segments: the other three are empty in every record
+    h = rng.integers(0, 1 << 62, 40 * n)
+    h = h[(similar_sets.mix(h) >> np.uint64(8)) % np.uint64(4) == 0][: 12 * n // 2]
+    n = len(h) // 12
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 12 * n + 1, 12), pa.int32()), pa.array(h[: 12 * n]))
+    batch = pa.record_batch([pa.array(np.arange(n)), pa.array(np.zeros(n, np.int64)), lists], names=["id", "group", "items"])
+    by_key, by_record = (list(similar_sets._first(0.75, 0, 8, hot, similar_sets.MANY)([batch])) for hot in (False, True))
+    entries = lambda blocks, width: sum(len(k) // width for b in blocks for k in b.column("keys").to_pylist())
+    assert n > 40_000 and entries(by_record, 8) > 3 * n
+    rows = [r for b in by_key for r in b.to_pylist()]
+    most = 0
+    for bucket in range(8):
+        key, *_, marks = similar_sets._read([r for r in rows if r["bucket"] == bucket])
+        most = max(most, int(np.unique(key, return_counts=True)[1].max()))
+        assert not np.isin(key, marks).any() or most <= similar_sets.MANY * len(by_key)
+    assert most <= similar_sets.MANY * len(by_key)
+
+
+def test_classes_with_links(spark):
+    rows = sets_of(random.Random(8), 150, universe=15, most=6)
+    links = Counter(x for pair in brute_sets(rows, 0.75) for x in pair)
+    got = {r.id: (r["class"], r.links) for r in similar_sets.similar_classes(spark.createDataFrame(rows, RECORDS)).collect()}
+    first = {}
+    for k, v in rows:
+        first.setdefault(frozenset(v), k)
+    assert got == {k: (first[frozenset(v)], links[k]) for k, v in rows if v}
+
+
 def test_long_sets_and_copies(spark):
     rng = random.Random(9)
     base = [f"w{k}" for k in range(3000)]
