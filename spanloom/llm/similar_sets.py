@@ -372,13 +372,12 @@ def _hot_blocks(key, record, deleted, ids, sketch, size, buckets: int):
             )
 
 
-def _second(buckets: int, large: bool, many: int):
+def _second(buckets: int, many: int):
     """Blocks of hot entries by record to blocks of the second round, whose keys are two hot keys.
 
-    Keys that many records of a bucket have are marked and left out; if `large`, their records come out
-    instead, with the group that they are to be split in. A hot key carries no segment: keys of one
-    segment of a record, whole and less one item, are joined too. That adds groups that aren't needed,
-    and loses none.
+    Keys that many records of a bucket have are marked and left out; their records come out instead,
+    with the group that they are to be split in. A hot key carries no segment: keys of one segment of a
+    record, whole and less one item, are joined too. That adds groups that aren't needed, and loses none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,13 +402,11 @@ def _second(buckets: int, large: bool, many: int):
                 # the pair's entry is marked deleted only where both are: two such never need to meet
                 mark = deleted[i] & deleted[j]
                 marks, is_large = _many(both, many)
-                if large:
-                    if len(marks):
-                        group = _whole(_lower_half(both[is_large]), 0) | (both[is_large] >> np.uint64(32)) % np.uint64(buckets)
-                        yield _members(ids[record[i][is_large]], mix(group))
-                else:
-                    keep = ~is_large
-                    yield _batch(list(_write(both[keep], record[i][keep] << 1 | mark[keep], ids, sketch, size, buckets, marks)))
+                if len(marks):
+                    group = _whole(_lower_half(both[is_large]), 0) | (both[is_large] >> np.uint64(32)) % np.uint64(buckets)
+                    yield _members(ids[record[i][is_large]], mix(group))
+                keep = ~is_large
+                yield _found_blocks(list(_write(both[keep], record[i][keep] << 1 | mark[keep], ids, sketch, size, buckets, marks)))
 
     return run
 
@@ -435,15 +432,16 @@ def candidates(records: DataFrame, t: float) -> DataFrame:
         hot = by_bucket(by_record.unionAll(found.where("bucket is not null").select(*_BLOCK_NAMES)))
         # at the last level nothing is marked: groups are cut where they are whole
         many = BLOCK * BLOCK if last else LARGE // 2
-        twice = by_bucket(hot.mapInArrow(_second(buckets, False, many), BLOCKS))
-        again = staged(twice.mapInArrow(_matched(t, buckets, large=LARGE, cut=last), FOUND))
+        twice = hot.mapInArrow(_second(buckets, many), FOUND)
+        twice = twice if last else staged(twice)
+        blocks = by_bucket(twice.where("bucket is not null").select(*_BLOCK_NAMES))
+        again = staged(blocks.mapInArrow(_matched(t, buckets, large=LARGE, cut=last), FOUND))
         pairs += [x.where("id_b is not null") for x in (found, again)]
         if last:
             parted = by_bucket(again.where("bucket is not null").select(*_BLOCK_NAMES))
             pairs.append(parted.mapInArrow(_matched(t, buckets), FOUND))
             break
-        at_once = hot.mapInArrow(_second(buckets, True, many), FOUND)
-        members = staged(again.unionAll(at_once).where("`group` is not null").select(F.col("id_a").alias("id"), "group").distinct())
+        members = staged(again.unionAll(twice).where("`group` is not null").select(F.col("id_a").alias("id"), "group").distinct())
         if members.isEmpty():
             break
         rows = members.join(records, "id").select("id", "group", "items")
@@ -465,12 +463,13 @@ def representatives(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _similar_sets(records: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Of records (id, terms): rows (id, terms, key), classes and their sets, and the pairs of similar
     classes (key_a, key_b, shared, total)."""
-    keyed = (
+    keyed = staged(
         records.where("size(terms) > 0")
         .select("id", F.sort_array(F.array_distinct("terms")).alias("terms"))
         .withColumn("key", F.md5(F.to_json("terms")))
     )
     classes, sets = representatives(keyed)
+    classes, sets = staged(classes), staged(sets)
     hashed = sets.select("id", F.transform("terms", lambda x: F.xxhash64(x)).alias("items"))
     pairs = candidates(hashed, t)
     for s in "ab":
