@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import current_verses, read, staged
+from .common import current_verses, read, staged, width
 from .distinctive import CURRENT_SQL
 
 #: An item is heavy in a version if it stands in more than one of HEAVY_SHARE records; the number of
@@ -26,7 +26,13 @@ LISTED = 1 << 16
 #: Bits of the map of items that are frequent enough: what it lets through by mistake costs time, no rows.
 BITS = 1 << 23
 
+#: Buckets a partition: a task adds up one at a time. Parts that an item's pairs are spread over.
+BUCKETS, SPREAD = 4, 16
+
 PAIRS = "version int, a bigint, b bigint, together bigint"
+#: Pairs on their way: the first items, how many pairs each has, the second items, and the counts that
+#: aren't 1 with their places.
+PACKED = "bucket int, version int, firsts binary, runs binary, seconds binary, places binary, counts binary"
 
 
 def _ragged_pairs(starts, lengths, most: int):
@@ -62,8 +68,72 @@ def _within(lengths):
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
-def _pair_counter(heavy: dict, there, held: int):
-    """A mapInArrow function over (version, items) rows: the pair counts of its rows.
+def _packed(version, a, b, n, buckets: int) -> pa.RecordBatch:
+    """Pairs sorted by a and b as a row a bucket."""
+    import numpy as np
+
+    mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(8)) + (b.astype(np.uint64) & np.uint64(SPREAD - 1))
+    bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends, rows = np.cumsum(np.bincount(bucket, minlength=buckets)), []
+    for k in range(buckets):
+        mine = order[(ends[k - 1] if k else 0) : ends[k]]
+        if len(mine):
+            x, c = a[mine], n[mine]
+            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            more = np.flatnonzero(c != 1)
+            runs = np.diff(np.append(first, len(x))).astype(np.uint32)
+            rows.append((k, version, *(z.tobytes() for z in (x[first], runs, b[mine], more.astype(np.uint32), c[more]))))
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=[c.split()[0] for c in PACKED.split(", ")])
+
+
+def _added(least: int):
+    """Packed pairs sorted by bucket and version to (version, a, b, together) of those that reach `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def done(version, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            read = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
+            a = np.concatenate([np.repeat(x, k) for x, k in zip(read("firsts", np.int64), read("runs", np.uint32))])
+            b, n = np.concatenate(read("seconds", np.int64)), np.ones(len(a), np.int64)
+            base = np.cumsum([0, *(len(r["seconds"]) // 8 for r in rows)])
+            for at, place, count in zip(base, read("places", np.uint32), read("counts", np.int64)):
+                n[at + place.astype(np.int64)] = count
+            for x, y, k in _summed(a, b, n, least):
+                yield pa.record_batch([pa.array([version] * len(x), pa.int32()), pa.array(x), pa.array(y), pa.array(k)], names=["version", "a", "b", "together"])
+
+        key, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["bucket"], row["version"]) != key:
+                    if held:
+                        yield from done(key[1], held)
+                    key, held = (row["bucket"], row["version"]), []
+                held.append(row)
+        if held:
+            yield from done(key[1], held)
+
+    return run
+
+
+def _summed(a, b, n, least: int = 0):
+    """The pairs with their sums, sorted by a and b, in blocks; those below `least` are left out."""
+    import numpy as np
+
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n, starts) if len(a) else n
+    kept = np.flatnonzero(total >= least)
+    for at in range(0, len(kept), 1 << 16):
+        part = kept[at : at + (1 << 16)]
+        yield a[starts[part]], b[starts[part]], total[part]
+
+
+def _pair_counter(heavy: dict, there, held: int, buckets: int):
+    """A mapInArrow function over (version, items) rows: the pair counts of its rows, packed.
 
     heavy: for a version, the sorted keys of the items that are heavy and of those left out. there: a
     broadcast bit map of the items that can be in a result at all.
@@ -77,11 +147,8 @@ def _pair_counter(heavy: dict, there, held: int):
 
         def out(v, blocks) -> Iterator[pa.RecordBatch]:
             for a, b, n in blocks:
-                for at in range(0, len(a), 1 << 16):
-                    x, y, k = (z[at : at + (1 << 16)] for z in (a, b, n))
-                    yield pa.record_batch(
-                        [pa.array([v] * len(x), pa.int32()), pa.array(x), pa.array(y), pa.array(k)], names=["version", "a", "b", "together"]
-                    )
+                if len(a):
+                    yield _packed(v, a, b, n, buckets)
 
         for batch in batches:
             version = batch.column(0)
@@ -199,16 +266,13 @@ class _Counter:
                 self.waiting, self.waits = [], 0
 
     def _combine(self) -> None:
-        """Equal pairs of what waits are added up."""
+        """Equal pairs of what waits are added up; they are sorted then."""
         import numpy as np
 
-        if not self.waiting:
-            return
-        a, b, n = (np.concatenate(x) for x in zip(*self.waiting))
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
-        starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        self.waiting, self.waits = [(a[starts], b[starts], np.add.reduceat(n, starts))], len(starts)
+        if self.waiting:
+            blocks = list(_summed(*(np.concatenate(x) for x in zip(*self.waiting))))
+            self.waiting = [tuple(np.concatenate(x) for x in zip(*blocks))]
+            self.waits = len(self.waiting[0][0])
 
     def rest(self):
         """What hasn't come out yet, in blocks; a pair can come in several."""
@@ -244,8 +308,9 @@ def pairs_together(records: DataFrame, least: int = 8, lift: float = 10.0) -> Da
     a bit map of fixed size over the hashes of the others; nothing else is left out. Terms are
     64-bit hashes until the end.
     """
+    records = staged(records.select("version", F.array_distinct("terms").alias("terms")))  # read three times
     size = records.groupBy(F.col("version").alias("version_n")).agg(F.count(F.lit(1)).alias("n"))
-    keyed = records.where("terms is not null").select("version", F.array_distinct("terms").alias("terms"))
+    keyed = records.where("terms is not null").select("version", "terms")
     df = staged(
         keyed.select("version", F.explode("terms").alias("term"))
         .groupBy("version", "term")
@@ -258,12 +323,10 @@ def pairs_together(records: DataFrame, least: int = 8, lift: float = 10.0) -> Da
     frequent = df.where(F.col("df") * HEAVY_SHARE > F.col("n"))
     there = records.sparkSession.sparkContext.broadcast(_bit_map(df.where(F.col("df") * lift <= F.col("n"))))
     items = keyed.select("version", F.transform("terms", lambda t: F.xxhash64(t)).alias("items"))
-    counted = (
-        items.mapInArrow(_pair_counter(_heavy(frequent, lift), there, HELD), PAIRS)
-        .groupBy("version", "a", "b")
-        .agg(F.sum("together").alias("together"))
-        .where(F.col("together") >= least)
-    )
+    parts = width(records.sparkSession)
+    packed = items.mapInArrow(_pair_counter(_heavy(frequent, lift), there, HELD, parts * BUCKETS), PACKED)
+    by_bucket = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket", "version")
+    counted = by_bucket.mapInArrow(_added(least), PAIRS)
 
     def side(s: str) -> DataFrame:
         return df.select(
