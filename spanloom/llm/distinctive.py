@@ -108,6 +108,30 @@ def p2_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _both_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(verse_id, term, by_score, by_residual) of terms with their places in both rankings of their verse."""
+    scored = scored_terms(current_verses(read(spark, sf_dir, "scoring_verses")))
+    of_verse = Window.partitionBy("verse_id")
+    place = lambda by: F.row_number().over(of_verse.orderBy(by.desc_nulls_last(), F.col("term").asc()))
+    return scored.select(
+        "verse_id", "term", F.round("residual", 4).alias("residual"), place(F.col("score")).alias("by_score"), place(F.round("residual", 4)).alias("by_residual")
+    )
+
+
+def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three terms of each current verse with the greatest residuals."""
+    rows = _both_rankings(spark, sf_dir).where("by_residual <= 3")
+    return rows.select("verse_id", F.col("term").alias("normalized"), F.col("by_residual").alias("rank"))
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: in how many places the first three terms by residual are the first three by score, of all such places."""
+    rows = _both_rankings(spark, sf_dir)
+    return rows.agg(
+        F.count_if(F.col("by_score") <= 3).alias("places"), F.count_if((F.col("by_score") <= 3) & (F.col("by_residual") <= 3)).alias("agreeing")
+    )
+
+
 CURRENT_SQL = """
 cv as (
   select verse_id, corpus_version_id as version, list_transform(
@@ -141,3 +165,15 @@ select verse_id, term as normalized, tf, df as document_frequency, round(idf, 6)
   round((tf - e) / sqrt(e * (1 - row_total / all_total) * (1 - total / all_total)), 4) as residual
 from (select *, cast(row_total as double) * total / all_total as e from s)
 """
+
+_PLACES_SQL = f"""
+select verse_id, normalized, row_number() over (partition by verse_id order by score desc, normalized) as by_score,
+  row_number() over (partition by verse_id order by residual desc nulls last, normalized) as by_residual
+from ({P2_RESIDUALS_SQL})
+"""
+
+P2_RANKING_SQL = f"select verse_id, normalized, by_residual as rank from ({_PLACES_SQL}) where by_residual <= 3"
+
+P2_AGREEMENT_SQL = f"""
+select count(*) filter (by_score <= 3) as places, count(*) filter (by_score <= 3 and by_residual <= 3) as agreeing from ({_PLACES_SQL})
+"""

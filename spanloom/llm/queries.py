@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_classes": similar_sets.p1_classes,
         "p2_found": distinctive.p2_found,
         "p2_residuals": distinctive.p2_residuals,
+        "p2_ranking": distinctive.p2_ranking,
+        "p2_agreement": distinctive.p2_agreement,
         "p3_found": term_counts.p3_found,
         "p3_counts": term_counts.p3_counts,
         "p4_found": topn.p4_found,
@@ -38,6 +40,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_classes": similar_sets.P1_CLASSES_SQL,
         "p2_found": distinctive.P2_SQL,
         "p2_residuals": distinctive.P2_RESIDUALS_SQL,
+        "p2_ranking": distinctive.P2_RANKING_SQL,
+        "p2_agreement": distinctive.P2_AGREEMENT_SQL,
         "p3_found": term_counts.P3_SQL,
         "p3_counts": term_counts.P3_COUNTS_SQL,
         "p4_found": topn.P4_SQL,

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import current_verses, read
+from .common import current_verses, read, staged
 from .distinctive import CURRENT_SQL
 from .similar_sets import _chunks, mix
 
@@ -119,13 +119,23 @@ def text_classes(records: DataFrame) -> DataFrame:
     return records.where("size(terms) > 0").withColumn("key", F.md5(F.to_json("terms")))
 
 
+def text_lists(keyed: DataFrame, least: int) -> DataFrame:
+    """(key, id, terms): a row a class of equal lists of `least` terms or more, with its least id."""
+    return keyed.where(F.size("terms") >= least).groupBy("key").agg(F.min("id").alias("id"), F.min("terms").alias("terms"))
+
+
+def list_windows(lists: DataFrame, least: int, gram: int) -> DataFrame:
+    """(key, id, c, l, r): the compact windows of lists."""
+    return lists.select("id", F.transform("terms", lambda x: F.xxhash64(x)).alias("items")).mapInArrow(
+        _windows(gram, least), "key bigint, id bigint, c int, l int, r int"
+    )
+
+
 def class_runs(keyed: DataFrame, least: int, gram: int) -> DataFrame:
     """(key_a, key_b, start_a, start_b, n_tokens): the runs between different lists of terms, each
     pair of lists in one order, and those of a list with itself, off its main diagonal, once."""
-    lists = keyed.where(F.size("terms") >= least).groupBy("key").agg(F.min("id").alias("id"), F.min("terms").alias("terms"))
-    windows = lists.select("id", F.transform("terms", lambda x: F.xxhash64(x)).alias("items")).mapInArrow(
-        _windows(gram, least), "key bigint, id bigint, c int, l int, r int"
-    )
+    lists = text_lists(keyed, least)
+    windows = list_windows(lists, least, gram)
     a, b = (windows.withColumnsRenamed({x: f"{x}_{s}" for x in ("id", "c", "l", "r")}) for s in "ab")
     shift = F.col("c_b") - F.col("c_a")
     first, last = F.greatest(F.col("l_a"), F.col("l_b") - shift), F.least(F.col("r_a"), F.col("r_b") - shift)
@@ -178,20 +188,63 @@ def shared_runs(records: DataFrame, least: int = 12, gram: int = GRAM) -> DataFr
     )
 
 
+def _starts(gram: int, least: int):
+    """Rows (id, items, windows) to (h, g, id, start): 128 bits over each span of `least` items that a window holds."""
+    width = least - gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            hashes: list = [[], []]
+            ids, starts = [], []
+            for row in batch.to_pylist():
+                at = np.unique(
+                    np.concatenate([np.arange(max(w["l"], w["c"] - width + 1), min(w["c"], w["r"] - width + 1) + 1) for w in row["windows"]])
+                )
+                items = np.array(row["items"], np.int64)
+                for k, out in enumerate(hashes):
+                    h, g = mix(items ^ np.int64(k * 0x5851F42D4C957F2D)), np.zeros(len(at), np.uint64)
+                    for n in range(least):
+                        g = mix(g * np.uint64(3) + h[at + n])
+                    out.append(g.view(np.int64))
+                ids.append(np.full(len(at), row["id"], np.int64))
+                starts.append(at.astype(np.int32))
+            kinds = (np.int64, np.int64, np.int64, np.int32)
+            columns = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip((*hashes, ids, starts), kinds)]
+            for k in range(0, max(1, len(columns[0])), 1 << 16):
+                yield pa.record_batch([pa.array(c[k : k + (1 << 16)]) for c in columns], names=["h", "g", "id", "start"])
+
+    return run
+
+
+def shared_starts(keyed: DataFrame, least: int, gram: int) -> DataFrame:
+    """(key, start): where spans of `least` terms start that stand in another list too; linear in the terms.
+
+    A span lies in one compact window of its list, and in one of the same signature wherever else it
+    stands. Windows whose signature only one list has are left out; the spans of the others are
+    counted by 128 bits of hash, never met in pairs.
+    """
+    lists = text_lists(keyed, least)
+    items = F.transform("terms", lambda x: F.xxhash64(x)).alias("items")
+    windows = list_windows(lists, least, gram)
+    several = lambda df, *by: df.groupBy(*by).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select(*by)
+    kept = windows.join(several(windows, "key"), "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("c", "l", "r")).alias("windows"))
+    spans = staged(lists.select("id", items).join(kept, "id").mapInArrow(_starts(gram, least), "h bigint, g bigint, id bigint, start int"))
+    starts = spans.join(several(spans, "h", "g"), ["h", "g"], "left_semi")
+    return starts.join(lists.select("id", "key"), "id").select("key", "start")
+
+
 def shared_coverage(records: DataFrame, least: int = 12, gram: int = GRAM) -> DataFrame:
     """(id, n_tokens, n_shared, share): how many of a record's terms lie in runs shared with other records.
 
-    Every record with terms has a row, share 0 where nothing is shared. Intervals are united per
-    class of equal lists, without expanding pairs of members: a list with copies is shared whole if
-    it is long enough, and a run of a list with itself counts only if there are copies.
+    Every record with terms has a row, share 0 where nothing is shared. A list with copies is shared
+    whole if it is long enough; of the others, spans that stand elsewhere are united. Lists are never
+    met in pairs, so that a formula in very many of them costs no more than its places.
     """
-    keyed = text_classes(records)
-    runs = class_runs(keyed, least, gram)
+    keyed = staged(text_classes(records))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.size("terms")).alias("n"))
-    between = runs.where("key_a <> key_b")
-    spans = between.select(F.col("key_a").alias("key"), F.col("start_a").alias("start"), "n_tokens").unionByName(
-        between.select(F.col("key_b").alias("key"), F.col("start_b").alias("start"), "n_tokens")
-    )
+    spans = shared_starts(keyed, least, gram).select("key", "start", F.lit(least).alias("n_tokens"))
     whole = sizes.where((F.col("copies") > 1) & (F.col("n") >= least)).select("key", F.lit(0).alias("start"), F.col("n").alias("n_tokens"))
     places = (
         spans.unionByName(whole)
