@@ -94,6 +94,12 @@ def ranked(corpus: Corpus, scored: DataFrame, limit: int) -> DataFrame:
     return placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def having(found: DataFrame, minimum_score: float = 0.0, reasons: list[str] | None = None) -> DataFrame:
+    """Of a ranking, the rows with a score and, if reasons are named, one of them; ranks stay what they are."""
+    kept = found.where(F.col("score") >= minimum_score)
+    return kept.where(F.arrays_overlap("reasons", F.lit(list(reasons)))) if reasons else kept
+
+
 def related_many(corpus: Corpus, references: list[refs.Reference], limit: int = 5, config: ScoringConfig | None = None) -> DataFrame:
     """Rankings of several verses in one scan; what a golden list of rankings is made of."""
     n, threshold = corpus.size_and_threshold

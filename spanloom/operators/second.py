@@ -438,6 +438,25 @@ class Second:
             F.col("l.best.score").alias("letter_score"), F.col("l.best.kind").alias("letter_kind"), F.col("l.best.fragment").alias("letter_fragment"),
         )
 
+    def near_phrases(self, reference: refs.Reference) -> DataFrame:
+        """(label, source_start, target_start, length, gap, value): spans of a verse whose words stand in another
+        verse in order, with how much lies between them there; in one scan of the verses that share a word."""
+        source = self.verse(reference)
+        words, most = list(source.folded), max(1, self.bounds.verse_words - 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for label, there in zip(*(c.to_pylist() for c in batch.columns)):
+                    out += [(label, x["start"], x["target_start"], x["length"], x["gap"], x["value"]) for x in forms.near_phrases(words, there, most)]
+                kinds = [pa.string(), *[pa.int32()] * 4, pa.float64()]
+                columns = zip(*out) if out else [[]] * 6
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["label", "source_start", "target_start", "length", "gap", "value"])
+
+        hit = F.arrays_overlap("folded", F.lit(sorted(set(words)))) if words else F.lit(False)
+        rows = self.features.where(hit & (F.col("id") != source.id)).select("label", "folded")
+        return rows.mapInArrow(run, "label string, source_start int, target_start int, length int, gap int, value double")
+
     def phrase_frequency(self, source) -> DataFrame:
         """(phrase, times): how often each displayed phrase of a verse stands in the corpus, in one scan."""
         own = {k: source[k] for k in ("display_text", "folded", "char_start", "char_end")}
@@ -567,6 +586,19 @@ def weighted_dice(corpus: Corpus, reference: refs.Reference) -> DataFrame:
     return joined.join(corpus.verses.select("id", "label"), "id").select("label", numeric.round6(2 * F.col("common") / (F.col("total") + F.col("own_total"))).alias("dice"))
 
 
-def phrase_noisy_or(values: Column) -> Column:
-    """One less the product of what each value leaves, in order."""
-    return numeric.clamp(1 - F.aggregate(values, F.lit(1.0), lambda acc, v: acc * (1 - v)))
+def identity_measures(corpus: Corpus) -> DataFrame:
+    """(label, first, score): for each verse with the tokens of an earlier one, how far both texts agree place
+    by place, in tokens, letters, marks and characters."""
+    features = Second.of(corpus).features.where(F.size("folded") > 0)
+    keyed = features.select("id", "label", "display_text", "surface", F.md5(F.array_join("folded", "\x1f")).alias("key"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("id", "label", "display_text", "surface")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = keyed.join(first, "key").where(F.col("id") != F.col("first.id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            scores = [forms.sequence_measurements(r["first"]["display_text"], r["display_text"], r["first"]["surface"], r["surface"]) for r in rows]
+            labels = [[r["label"] for r in rows], [r["first"]["label"] for r in rows]]
+            yield pa.record_batch([*(pa.array(x, pa.string()) for x in labels), pa.array(scores, pa.float64())], names=["label", "first", "score"])
+
+    return met.select("label", "display_text", "surface", "first").mapInArrow(run, "label string, first string, score double")

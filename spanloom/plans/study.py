@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import refs
 from ..operators import cross_references, related, topics, workflows
 from ..sources import ingest, relational
-from . import registry
+from . import pair_sql, registry
 from .config import ScoringConfig
 from .registry import WORD, corpus, on_corpus, probe, sql, table
 
@@ -54,6 +54,26 @@ from m, p where shared > 0 and m.id <> p.id"""
     )
 
 
+def flat(found: DataFrame, *first: str) -> DataFrame:
+    """A ranking with its evidence in plain columns: phrases as `i j n level`, rare words as `word df`."""
+    return found.select(
+        *first,
+        "rank",
+        "label",
+        "score",
+        *(F.col(f"components.{c}") for c in ("jaccard", "phrase", "rare", "ordering", "capitalization")),
+        "matched_normalized",
+        F.transform("phrases", lambda x: F.concat_ws(" ", x.source_start, x.target_start, F.size(x.tokens), x.level)).alias("phrases"),
+        F.transform("rare_tokens", lambda x: F.concat_ws(" ", x.token, x.document_frequency)).alias("rare_tokens"),
+        "reasons",
+    )
+
+
+def _in_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r.name for r in table(spark, sf_dir, "books").where("book_order in (1, 2, 3)").select("name").collect()]
+    return flat(related.related(corpus(spark, sf_dir), probe(spark, sf_dir).start, 20, books=names))
+
+
 def _compare(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c, places = _two(spark, sf_dir)
@@ -132,6 +152,19 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("reference", "parsed.book_order", "parsed.chapter", "parsed.verse", refs.range_label(*(F.col(f"parsed.{x}") for x in ("book", "chapter", "verse", "end_chapter", "end_verse"))).alias("label"))
 
 
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every current place written as a range, by each of its book's aliases, some of them wrong."""
+    rows = table(spark, sf_dir, "scoring_verses").select("reference.*").distinct()
+    books = table(spark, sf_dir, "books").select("book_order", F.explode(F.array_distinct(F.concat(F.array("name", "osis"), "aliases"))).alias("alias"))
+    c, v = F.col("chapter"), F.col("verse")
+    to = lambda *parts: F.concat(F.lit("  "), F.upper("alias"), F.lit("  "), c, F.lit(":"), v, *(F.lit(x) if isinstance(x, str) else x for x in parts))
+    forms = F.array(to(), to("-", v + 2), to(" – ", c + 1, ":", v), to("-", v - 1), to("-0"), to("x"), F.concat(F.lit("no such book "), c, F.lit(":"), v))
+    texts = rows.join(F.broadcast(books), "book_order").select(F.explode(forms).alias("reference")).distinct()  # a fixed table
+    parsed = refs.parse_references(texts, "reference", table(spark, sf_dir, "books"))
+    places = ("book", "chapter", "verse", "end_chapter", "end_verse")
+    return parsed.select("reference", *(F.col(f"parsed.{x}") for x in places), refs.range_label(*(F.col(f"parsed.{x}") for x in places)).alias("label"))
+
+
 STUDY = {
     "related_candidates": (
         at_probe(lambda c, r: related.candidates(c, r).select("label")),
@@ -142,11 +175,9 @@ STUDY = {
     "match_level_normalized": (at_probe(lambda c, r: related.weighted_overlap(c, r, "normalized")), _overlap_sql("normalized")),
     "related_rare": (at_probe(_components()), _overlap_sql("folded", rare=True)),
     "related_filtered": (at_probe(_components("OT")), _overlap_sql("folded", "book_order <= 39", rare=True)),
-    "related_full": (
-        at_probe(lambda c, r: related.related(c, r).select("rank", "label", "score", "components", "matched_normalized", "phrases", "rare_tokens", "reasons")),
-        None,
-    ),
-    "related_many": (lambda spark, sf_dir: related.related_many(*_two(spark, sf_dir)).select("reference", "rank", "label", "score"), None),
+    "related_full": (at_probe(lambda c, r: flat(related.related(c, r))), pair_sql.RELATED_FULL),
+    "related_books": (_in_books, pair_sql.RELATED_BOOKS),
+    "related_many": (lambda spark, sf_dir: related.related_many(*_two(spark, sf_dir)).select("reference", "rank", "label", "score"), pair_sql.RELATED_MANY),
     "phrase_runs": (
         at_probe(related.phrase_runs),
         sql(
@@ -164,7 +195,7 @@ select label, min(i) as source_start, min(j) as target_start, count(*) as length
         _compare("unique"),
         sql(f"{PROBE_SQL} select min(tok.label) as label, normalized as token from tok, p, p2 where tok.id in (p.id, p2.id) group by normalized having count(distinct tok.id) = 1"),
     ),
-    "compare_pairs": (_pairs, None),
+    "compare_pairs": (_pairs, pair_sql.COMPARE_PAIRS),
     "gather_mentions": (
         on_corpus(lambda c: workflows.gather_mentions(c, WORD).select("label", "positions", "total_verses", "truncated")),
         sql(
@@ -196,10 +227,10 @@ select book, count(*) as verse_count, sum(len(places)) as occurrence_count, list
 from r join c using (id) group by book"""
         ),
     ),
-    "candidate_mates": (at_probe(lambda c, r: workflows.candidate_mates(c, r).select("rank", "label", "score", "evidence_types")), None),
-    "lexical_witnesses": (at_probe(lambda c, r: workflows.lexical_witnesses(c, r).select("witness", "label", "score", "complete")), None),
-    "graph_nodes": (_graph("nodes"), None),
-    "graph_edges": (_graph("table"), None),
+    "candidate_mates": (at_probe(lambda c, r: workflows.candidate_mates(c, r).select("rank", "label", "score", "evidence_types")), pair_sql.CANDIDATE_MATES),
+    "lexical_witnesses": (at_probe(lambda c, r: workflows.lexical_witnesses(c, r).select("witness", "label", "score", "complete")), pair_sql.LEXICAL_WITNESSES),
+    "graph_nodes": (_graph("nodes"), pair_sql.GRAPH_NODES),
+    "graph_edges": (_graph("table"), pair_sql.GRAPH_EDGES),
     "topic_candidates": (
         _topic(topics.bridge_candidates),
         sql("select normalized as term, document_frequency as verse_frequency, total_frequency from stats where normalized in ('river', 'stream', 'lamp', 'lantern', 'candle')"),
@@ -239,6 +270,32 @@ select distinct case when ks > kt then t else s end as source, case when ks > kt
   cast(regexp_extract(query_reference, '(\d+):(\d+)$', 2) as int) as verse, query_reference as label
 from (select distinct query_reference from related_results) left join books b on b.name = regexp_replace(query_reference, ' \d+:\d+$', '')""",
     ),
+    "parse_ranges": (
+        _ranges,
+        r"""with a as (
+  select book_order, name, unnest(list_distinct(list_concat([name, osis], aliases))) as alias from books
+), k as (
+  select lower(regexp_replace(trim(alias), '\s+', ' ', 'g')) as key, arg_max(name, book_order) as book from a group by key
+), p as (
+  select distinct alias, reference.chapter as c, reference.verse as v from scoring_verses join a on a.book_order = reference.book_order
+), f as (
+  select distinct unnest([
+    {'t': t, 'key': key, 'c': c, 'v': v, 'ec': c, 'ev': v}, {'t': t || '-' || (v + 2), 'key': key, 'c': c, 'v': v, 'ec': c, 'ev': v + 2},
+    {'t': t || ' – ' || (c + 1) || ':' || v, 'key': key, 'c': c, 'v': v, 'ec': c + 1, 'ev': v}, {'t': t || '-' || (v - 1), 'key': null, 'c': c, 'v': v, 'ec': c, 'ev': v},
+    {'t': t || '-0', 'key': null, 'c': c, 'v': v, 'ec': c, 'ev': v}, {'t': t || 'x', 'key': null, 'c': c, 'v': v, 'ec': c, 'ev': v},
+    {'t': 'no such book ' || c || ':' || v, 'key': null, 'c': c, 'v': v, 'ec': c, 'ev': v}]) as x
+  from (select *, '  ' || upper(alias) || '  ' || c || ':' || v as t, lower(regexp_replace(trim(alias), '\s+', ' ', 'g')) as key from p)
+), u as (
+  select distinct x.t as reference, book, x.c as c, x.v as v, x.ec as ec, x.ev as ev from f left join k on k.key = x.key
+)
+select distinct reference, book, case when book is not null then c end as chapter, case when book is not null then v end as verse,
+  case when book is not null then ec end as end_chapter, case when book is not null then ev end as end_verse,
+  book || ' ' || c || ':' || v || case when c = ec and v = ev then '' when c = ec then '-' || ev else '-' || ec || ':' || ev end as label from u"""
+    ),
+    "related_reasons": (
+        at_probe(lambda c, r: flat(related.having(related.related(c, r), 0.2, ["shared_exact_phrase"]))),
+        pair_sql.RELATED_REASONS,
+    ),
     "import_records": (
         _import_records,
         r"""select distinct verse_id as line, case when ok then source_book_code else '' end as source_book_code, b.name as book,
@@ -271,5 +328,5 @@ union all select 'books: order or testament', count(*) from books where book_ord
   count(*) as verses, coalesce(sum(len(italics)), 0) as italic_spans, coalesce(sum(len(paratext)), 0) as paratext_items
 from (select *, row_number() over (partition by verse_id order by loaded_at desc) as rn from scoring_verses) where rn = 1 and corpus_version_id = {registry.VERSION}""",
     ),
-    "canonical_json": (_canonical, None),
+    "canonical_json": (_canonical, None),  # its SQL is in source_queries
 }

@@ -15,7 +15,7 @@ from ..functions import text
 from ..operators import many, search, second, statistics
 from ..sources import ingest
 from ..sources.corpus import REFERENCE, Corpus
-from . import registry, second_queries, study
+from . import pair_sql, registry, second_queries, study
 from .registry import VERSION, Query, corpus, current_rows, sql, table
 from .second_queries import LETTERS, sql2
 
@@ -54,14 +54,14 @@ def sources(spark: SparkSession, sf_dir: str, c: Corpus, version: int) -> DataFr
     return c.verses.join(picked.select(*REFERENCE), REFERENCE).select(F.col("id").alias("source_id"))
 
 
-def every(f: Callable[[Corpus, DataFrame], DataFrame], *columns: str, pattern: str = text.TOKEN) -> Query:
+def every(f: Callable[[Corpus, DataFrame], DataFrame], *columns: str, pattern: str = text.TOKEN, flat: bool = False) -> Query:
     """columns of f(corpus, sources), with reference and label for source_id and id."""
 
     def run(spark: SparkSession, sf_dir: str, c: Corpus, version: int) -> DataFrame:
         found = f(c, sources(spark, sf_dir, c, version))
         names = c.verses.select("id", "label")
         named = found.drop("label").join(names, "id").join(names.withColumnsRenamed({"id": "source_id", "label": "reference"}), "source_id")
-        return named.select("reference", "label", *columns)
+        return study.flat(named, "reference") if flat else named.select("reference", "label", *columns)
 
     return of_versions(run, pattern)
 
@@ -104,8 +104,8 @@ WHOLE: dict[str, tuple[Query, str | None]] = {
     "every_match_level_normalized": (_overlap("normalized"), _overlap_sql("normalized")),
     "every_related_rare": (every(many.components, "shared", "jaccard", "rare"), _overlap_sql("folded", rare=True)),
     "every_related_filtered": (every(lambda c, s: many.components(c, s, "OT"), "shared", "jaccard", "rare"), _overlap_sql("folded", "w.book_order <= 39", rare=True)),
-    "every_related_full": (every(many.related, "rank", "score", "components", "matched_normalized", "phrases", "rare_tokens", "reasons"), None),
-    "every_related_many": (every(lambda c, s: many.related(c, s, 5), "rank", "score"), None),
+    "every_related_full": (every(many.related, flat=True), pair_sql.EVERY_FULL),
+    "every_related_many": (every(lambda c, s: many.related(c, s, 5), "rank", "score"), pair_sql.EVERY_MANY),
     "every_phrase_runs": (
         every(many.phrase_runs, "source_start", "target_start", "length"),
         sql(
@@ -115,8 +115,8 @@ WHOLE: dict[str, tuple[Query, str | None]] = {
 select reference, label, min(i) as source_start, min(j) as target_start, count(*) as length from g group by reference, label, j - i, island having count(*) >= 3"""
         ),
     ),
-    "every_candidate_mates": (every(many.candidate_mates, "rank", "score", "evidence_types"), None),
-    "every_lexical_witnesses": (every(many.lexical_witnesses, "witness", "score", "complete"), None),
+    "every_candidate_mates": (every(many.candidate_mates, "rank", "score", "evidence_types"), pair_sql.EVERY_MATES),
+    "every_lexical_witnesses": (every(many.lexical_witnesses, "witness", "score", "complete"), pair_sql.EVERY_WITNESSES),
     "every_weighted_dice": (
         every(many.weighted_dice, "dice", pattern=text.JOINED_TOKEN),
         sql2(

@@ -20,6 +20,8 @@ from ..plans.errors import InvalidRequest
 # Fixed values.
 RECORD = r"^([1-3]?[A-Za-z]+) (\d+):(\d+) (.+)$"
 SIDE_TEXT = r"<<(.+?)>>"
+#: Lines that one task checks in sequence.
+BLOCK = 100_000
 #: Windows-1252 where it differs from Latin-1: the characters of the bytes 0x80 to 0x9F.
 C1 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 CANONICAL = "reference struct<book: string, bookOrder: int, chapter: int, verse: int>, sourceBookCode string, displayText string, italics array<struct<start: int, end: int, source: string>>, paratext array<struct<type: string, raw: string, text: string>>"
@@ -50,19 +52,32 @@ def read_archive(spark: SparkSession, path: str, member: str) -> DataFrame:
     return files.mapInArrow(extract, schema).select("path", "archive_sha256", "member_sha256", decode_windows_1252(F.col("data")).alias("text"))
 
 
-def lines_of(texts: DataFrame) -> DataFrame:
-    """(line, record, byte_start, byte_end) of a one-row frame (text): lines from 1, with their places in it.
+def read_lines(spark: SparkSession, path: str, encoding: str = "windows-1252") -> DataFrame:
+    """(line, record, byte_start, byte_end): the lines of a text file, or of a folder's files in the order of
+    their names, numbered from 1, with their places in the whole.
 
-    Places are sums of line lengths and line ends, as in a single-byte source.
+    Files are read in splits. A split's first number and place are the sums of those before it, a row a
+    split; within a split lines are numbered as they lie.
     """
-    cut = texts.select(F.posexplode(F.split("text", "\n")).alias("k", "piece"))
-    order = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = cut.select(
-        (F.col("k") + 1).alias("line"),
-        F.regexp_replace("piece", "\r$", "").alias("record"),
-        F.coalesce(F.sum(F.length("piece") + 1).over(order), F.lit(0)).alias("byte_start"),
+    read = spark.read.option("lineSep", "\n").text(path)
+    rows = read.select(
+        F.col("value").cast("binary").alias("data"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("k"),
+    ).withColumn("size", F.length("data") + 1)
+    splits = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    first = splits.select("split", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "bytes")))
+    within = Window.partitionBy("split").orderBy("k")
+    placed = rows.withColumns({"nth": F.row_number().over(within), "upto": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))})
+    text = decode_windows_1252(F.col("data")) if encoding == "windows-1252" else F.decode("data", encoding)
+    cut = placed.join(F.broadcast(first), "split").select(  # a row a split
+        (F.col("n_before") + F.col("nth")).cast("int").alias("line"),
+        F.regexp_replace(text, "\r$", "").alias("record"),
+        (F.col("bytes_before") + F.col("upto") - F.col("size")).alias("byte_start"),
+        (F.col("size") - 1 - F.endswith(text, F.lit("\r")).cast("int")).alias("n"),
     )
-    return rows.withColumn("byte_end", F.col("byte_start") + F.length("record"))
+    return cut.select("line", "record", "byte_start", (F.col("byte_start") + F.col("n")).alias("byte_end"))
 
 
 def side_texts(marked: Column) -> Column:
@@ -138,16 +153,24 @@ def issues(records: DataFrame, expected_books: int | None = None, expected_verse
     out = out.unionByName(of_line(verses.withColumn("again", again).where("again"), "duplicate_reference"))
     out = out.unionByName(of_line(verses.where("bad_paratext"), "unbalanced_paratext"))
     out = out.unionByName(of_line(verses.where("bad_italics"), "unbalanced_italics"))
-    before = lambda c: F.lag(c).over(Window.orderBy("line"))
-    here = {c: F.col(c) for c in ("book_order", "chapter", "verse")}
-    b, c, v = (F.col(f"last_{x}") for x in here)
+    # the place before a line's: within its block, or the last one of an earlier block
+    block = F.floor(F.col("line") / BLOCK)
+    place = F.struct(*(F.col(c).alias(c) for c in ("book_order", "chapter", "verse")))
+    blocks = verses.groupBy(block.alias("block")).agg(F.max_by(place, "line").alias("last"))
+    earlier = blocks.select("block", F.lag("last").over(Window.orderBy("block")).alias("earlier"))  # a row a block
+    chained = (
+        verses.withColumn("block", block)
+        .withColumn("before", F.lag(place).over(Window.partitionBy("block").orderBy("line")))
+        .join(F.broadcast(earlier), "block")
+        .withColumn("before", F.coalesce("before", "earlier"))
+    )
+    b, c, v = (F.col(f"before.{x}") for x in ("book_order", "chapter", "verse"))
     follows = (
-        ((here["book_order"] == b) & (here["chapter"] == c) & (here["verse"] == v + 1))
-        | ((here["book_order"] == b) & (here["chapter"] == c + 1) & (here["verse"] == 1))
-        | ((here["book_order"] == b + 1) & (here["chapter"] == 1) & (here["verse"] == 1))
+        ((F.col("book_order") == b) & (F.col("chapter") == c) & (F.col("verse") == v + 1))
+        | ((F.col("book_order") == b) & (F.col("chapter") == c + 1) & (F.col("verse") == 1))
+        | ((F.col("book_order") == b + 1) & (F.col("chapter") == 1) & (F.col("verse") == 1))
     )
-    chained = verses.withColumns({f"last_{x}": before(x) for x in here})
-    out = out.unionByName(of_line(chained.where(b.isNotNull() & ~follows), "nonconsecutive_reference"))
+    out = out.unionByName(of_line(chained.where(F.col("before").isNotNull() & ~follows), "nonconsecutive_reference"))
     whole = verses.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("book_order").alias("books"), F.count_if(F.col("display_text") == "").alias("empty"),
         F.min_by("reference", "line").alias("first"), F.max_by("reference", "line").alias("last"),
@@ -194,7 +217,10 @@ def write_canonical(verses: DataFrame, path: str) -> None:
 
 
 def canonical_sha256(verses: DataFrame) -> str:
-    """The digest of the canonical lines, read in order a partition at a time."""
+    """The digest of the canonical lines, read in order through the driver: for a corpus of a book's size.
+
+    For larger ones there is corpus_sha256.
+    """
     import hashlib
 
     digest = hashlib.sha256()
@@ -203,6 +229,23 @@ def canonical_sha256(verses: DataFrame) -> str:
     return digest.hexdigest()
 
 
+def chapter_digests(verses: DataFrame) -> DataFrame:
+    """(book_order, chapter, sha256): the digest of each chapter's canonical lines in order."""
+    lines = canonical_json(verses).groupBy("book_order", "chapter").agg(F.array_sort(F.collect_list(F.struct("verse", "value"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: F.concat(x.value, F.lit("\n"))), "")
+    return lines.select("book_order", "chapter", F.sha2(text, 256).alias("sha256"))
+
+
+def corpus_sha256(verses: DataFrame) -> str:
+    """The digest of the chapters' digests in order: a row a chapter comes to the driver."""
+    import hashlib
+
+    digest = hashlib.sha256()
+    for row in chapter_digests(verses).orderBy("book_order", "chapter").toLocalIterator():
+        digest.update(row.sha256.encode())
+    return digest.hexdigest()
+
+
 def read_canonical(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
     """Verses of canonical JSON lines; an error if there aren't as many as the manifest says."""
     rows = spark.read.schema(CANONICAL).json(path).select(

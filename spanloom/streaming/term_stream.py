@@ -28,19 +28,26 @@ def term_counts(texts: DataFrame, column: str = "text") -> DataFrame:
 def refresh(spark: SparkSession, source: str, schema, where: str | None = None) -> DataFrame:
     """Runs the stream over what has arrived in a folder of parquet files, and gives the table that it keeps.
 
-    Each micro-batch replaces the table in the shared folder; the stream's progress is kept there too,
-    so that a run that is lost goes on where it was.
+    A micro-batch writes the terms that it changes, under its number, so that one that is run again
+    writes the same place; the table is the last row of each term. The stream's progress is kept in the
+    shared folder too, so that a run that is lost goes on where it was.
     """
     home = where or f"{own_dir(spark)}/terms-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).parquet(source)
     query = (
         term_counts(stream)
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .option("checkpointLocation", f"{home}/progress")
         .trigger(availableNow=True)
-        .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{home}/table-{batch % 2}"))
+        .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{home}/changes/batch={batch}"))
         .start()
     )
     query.awaitTermination()
-    done = [p.get("batchId", 0) for p in query.recentProgress if p.get("batchId") is not None]
-    return spark.read.parquet(f"{home}/table-{(max(done) if done else 0) % 2}")
+    return current(spark, home)
+
+
+def current(spark: SparkSession, home: str) -> DataFrame:
+    """The table that a stream keeps in a folder: of each term, what the last batch that met it wrote."""
+    last = F.max(F.struct("batch", "document_frequency", "total_frequency")).alias("last")
+    rows = spark.read.parquet(f"{home}/changes").groupBy("normalized").agg(last)
+    return rows.select("normalized", "last.document_frequency", "last.total_frequency")

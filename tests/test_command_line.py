@@ -25,6 +25,9 @@ def test_verbs(spark, home, capsys):
     books, out, corpus = home / "books", home / "canonical", home / "corpus"
     assert call(spark, home, "import", home / "source.txt", books, out) == 0
     assert json.loads(capsys.readouterr().out)["verses"] == 3
+    report, manifest = (json.loads((out / f"{x}.json").read_text()) for x in ("import-report", "manifest"))
+    assert report["issues"] == [] and report["counts"]["italic_spans"] == 1 and "sourceUrl" in report["manifestErrors"]
+    assert manifest["counts"] == {"books": 1, "chapters": 1, "verses": 3} and manifest["canonicalSha256"] == report["canonicalSha256"]
     assert call(spark, home, "import", home / "bad.txt", books, home / "no") == 2 and not (home / "no").exists()
     assert call(spark, home, "index", out, corpus) == 0
     capsys.readouterr()

@@ -14,12 +14,36 @@ PS1 = "Ps 3:1 <<A Psalm of David.>> LORD, how are they increased that trouble me
 PS2 = "Ps 3:2 Many [there be] which say of my soul, [There is] no help for him in God. Selah."
 
 
-def parse(spark, *lines, eol="\r\n"):
-    books = spark.createDataFrame(BOOKS, "book_order int, osis string, name string")
-    return ingest.parse_records(ingest.lines_of(spark.createDataFrame([(eol.join(lines),)], "text string")), books)
-
-
-def test_records(spark):
+@pytest.fixture
+def parse(tmp_path):
+    def run(spark, *lines, eol="\r\n"):
+        books = spark.createDataFrame(BOOKS, "book_order int, osis string, name string")
+        path = tmp_path / f"lines-{len(list(tmp_path.iterdir()))}.txt"
+        path.write_bytes(eol.join(lines).encode("cp1252"))
+        return ingest.parse_records(ingest.read_lines(spark, str(path)), books)
+
+    return run
+
+
+def test_lines_in_splits(spark, tmp_path):
+    """Numbers and places go on from split to split and from file to file."""
+    lines = [f"{k} " + "é" * (k % 37) for k in range(3000)]
+    (tmp_path / "src").mkdir()
+    for n, part in enumerate((lines[:1200], lines[1200:])):
+        (tmp_path / "src" / f"part-{n}").write_bytes(("\r\n".join(part) + "\r\n").encode("cp1252"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        read = ingest.read_lines(spark, str(tmp_path / "src"))
+        assert spark.read.text(str(tmp_path / "src")).rdd.getNumPartitions() > 3
+        rows = read.orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = "".join(x + "\r\n" for x in lines).encode("cp1252")
+    assert [r.record for r in rows] == lines and [r.line for r in rows] == list(range(1, 3001))
+    assert all(whole[r.byte_start : r.byte_end].decode("cp1252") == r.record for r in rows)
+
+
+def test_records(spark, parse):
     rows = parse(spark, PS1, "", PS2, "Re 22:21 The grace. Amen. <<THE END.>>", "Ro 16:27 Amen. <<[Written to the Romans.]>>").orderBy("line").collect()
     assert [(p.type, p.text) for p in rows[0].paratext] == [("heading", "A Psalm of David.")]
     assert [rows[0].display_text[s.start : s.end] for s in rows[0].italics] == ["are"]
@@ -31,21 +55,26 @@ def test_records(spark):
     assert (n.books, n.chapters, n.verses, n.italic_spans, n.paratext_items) == (1, 1, 2, 3, 1)
 
 
-def test_issues(spark):
+def test_issues(spark, parse):
     rows = parse(spark, "Ge 1:1 In the [beginning God created", "Ge 1:3 And", "Ge 1:3 Again <<x", "nonsense", "Zz 1:1 x", "Ex 1:1 ok", eol="\n")
     codes = sorted(r.code for r in ingest.issues(rows, 2, 9, "Genesis 1:1", "Revelation 22:21").collect())
     assert codes == sorted(["unbalanced_italics", "nonconsecutive_reference", "nonconsecutive_reference", "duplicate_reference", "unbalanced_paratext", "malformed_record", "unknown_book_code", "unexpected_verse_count", "unexpected_last_reference"])
     assert ingest.issues(parse(spark, PS1, PS2)).count() == 0
 
 
-def test_archive_and_canonical(spark, tmp_path):
+def test_archive_and_canonical(spark, tmp_path, parse):
     data = bytes([0x41, 0x92, 0x97, 0x42])
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("t.txt", data)
     row = ingest.read_archive(spark, str(tmp_path / "a.zip"), "t.txt").first()
     assert row.text == "A’—B" and len(row.archive_sha256) == 64
     assert ingest.checksum_issues(ingest.read_archive(spark, str(tmp_path / "a.zip"), "t.txt"), "0", row.member_sha256).first().code == "source_checksum_mismatch"
+    from spanloom.plans import storage
+
+    assert storage.extract_member(spark, str(tmp_path / "a.zip"), "t.txt", str(tmp_path / "t.txt")) == (row.archive_sha256, row.member_sha256)
+    assert (tmp_path / "t.txt").read_bytes() == data
     verses = parse(spark, PS2, PS1).where("problem is null")
+    assert ingest.corpus_sha256(verses) == ingest.corpus_sha256(verses.orderBy(F.rand(1)))
     out = str(tmp_path / "out")
     ingest.write_canonical(verses, out)
     again = ingest.read_canonical(spark, out, 2)
