@@ -18,7 +18,7 @@ from ..functions import numeric, pairs, text
 from ..plans.config import ScoringConfig
 from ..plans.storage import staged
 from ..sources.corpus import REFERENCE, Corpus, in_testament
-from .related import EXPLANATION, FIELDS, LAYER, ranked
+from .related import EXPLANATION, FIELDS, LAYER, rank_key, ranked
 from .second import Second, word_length_value
 from .workflows import evidence_types
 
@@ -130,8 +130,7 @@ def _scan(corpus: Corpus, sources: DataFrame, config: ScoringConfig, testament:
                     ids, c = {"source_id": source["id"], "id": target["id"]}, found["components"]
                     if keep:
                         heap = best.setdefault(source["id"], [])
-                        # the order of a ranking; ids are in the order of places
-                        key = (found["score"], c["phrase"], c["rare"], c["jaccard"], c["cross_reference"], -target["id"])
+                        key = rank_key(found, target["id"])
                         if len(heap) < keep:
                             heappush(heap, (key, ids | found))
                         elif key > heap[0][0]:

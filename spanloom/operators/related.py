@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappush, heapreplace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,17 +29,28 @@ reasons array<string>
 """
 FIELDS = ["surface", "folded", "normalized", "df", "starts"]
 
+#: What tells two results of one score apart, in this order; then the canonical place, which is the order of ids.
+TIES = ("phrase", "rare", "jaccard", "cross_reference")
+
+
 def ranking() -> list[Column]:
-    """A ranking's order: all that can tell two results apart, and the canonical place at last."""
-    parts = [F.col(f"components.{c}").desc() for c in ("phrase", "rare", "jaccard", "cross_reference")]
-    return [F.col("score").desc(), *parts, *(F.col(c).asc() for c in REFERENCE)]
+    """A ranking's order."""
+    return [F.col("score").desc(), *(F.col(f"components.{c}").desc() for c in TIES), F.col("id").asc()]
+
+
+def rank_key(found: dict, id_: int) -> tuple:
+    """The same order for a scored pair in Python: the greater, the earlier."""
+    return (found["score"], *(found["components"][c] for c in TIES), -id_)
 
 
-def score_against(features: DataFrame, sources: list, config: ScoringConfig, n: int, rare_threshold: int, cross: set | None = None) -> DataFrame:
+def score_against(
+    features: DataFrame, sources: list, config: ScoringConfig, n: int, rare_threshold: int, cross: set | None = None, keep: int | None = None
+) -> DataFrame:
     """An EXPLANATION row for each source and each row of features that shares a key with it.
 
     sources: a few feature rows. Candidates are found and scored in one scan of the features: a
-    filter on overlapping keys, then Arrow batches. There is no shuffle.
+    filter on overlapping keys, then Arrow batches. There is no shuffle. With `keep`, of each batch and
+    source only so many come out, the first in ranking order: the others can't be among the first of all.
     """
     layer = LAYER[config.match_level]
     own = [{"id": s.id, **{f: list(s[f]) for f in FIELDS}} for s in sources]
@@ -49,14 +61,18 @@ def score_against(features: DataFrame, sources: list, config: ScoringConfig, n:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            of_source: list[list] = [[] for _ in own]
             for target in batch.to_pylist():
                 there = target[layer]
-                for source, mine in zip(own, wanted):
+                for source, mine, best in zip(own, wanted, of_source):
                     if target["id"] != source["id"] and not mine.isdisjoint(there):
                         found = pairs.score_pair(source, target, config, n, rare_threshold, (source["id"], target["id"]) in linked)
-                        out.append({"source_id": source["id"], "id": target["id"], **found})
-            yield pa.RecordBatch.from_pylist(out, schema)
+                        row = (rank_key(found, target["id"]), {"source_id": source["id"], "id": target["id"], **found})
+                        if not keep or len(best) < keep:
+                            heappush(best, row)
+                        elif row[0] > best[0][0]:
+                            heapreplace(best, row)
+            yield pa.RecordBatch.from_pylist([row for best in of_source for _, row in best], schema)
 
     overlapping = features.where(F.arrays_overlap(layer, F.lit(keys))) if keys else features.limit(0)
     return overlapping.select("id", *FIELDS).mapInArrow(run, EXPLANATION)
@@ -83,15 +99,19 @@ def related(
     targets = corpus.features.where(in_testament(testament))
     if books:
         targets = targets.where(F.col("book").isin(list(books)))
-    scored = score_against(targets, [source], config, n, threshold)
-    return ranked(corpus, scored, checked_limit(limit, 50))
+    most = checked_limit(limit, 50)
+    scored = score_against(targets, [source], config, n, threshold, keep=most)
+    return ranked(corpus, scored, most, few=True)
+
 
+def ranked(corpus: Corpus, scored: DataFrame, limit: int, few: bool = False) -> DataFrame:
+    """Of each source, the first `limit` rows in ranking order, with label and rank.
 
-def ranked(corpus: Corpus, scored: DataFrame, limit: int) -> DataFrame:
-    """Of each source, the first `limit` rows in ranking order, with label and rank."""
-    placed = scored.join(corpus.verses.select("id", "label", "book", *REFERENCE), "id")
+    Only they are joined with their verses; few: they are of a few sources, so that they can be broadcast.
+    """
     order = Window.partitionBy("source_id").orderBy(*ranking())
-    return placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return (F.broadcast(top) if few else top).join(corpus.verses.select("id", "label", "book", *REFERENCE), "id")
 
 
 def having(found: DataFrame, minimum_score: float = 0.0, reasons: list[str] | None = None) -> DataFrame:
@@ -105,9 +125,9 @@ def related_many(corpus: Corpus, references: list[refs.Reference], limit: int =
     n, threshold = corpus.size_and_threshold
     sources = [corpus.verse(r) for r in references]
     names = {s.id: s.label for s in sources}
-    scored = score_against(corpus.features, sources, config or ScoringConfig(), n, threshold)
+    scored = score_against(corpus.features, sources, config or ScoringConfig(), n, threshold, keep=limit)
     label = F.create_map(*(F.lit(x) for item in names.items() for x in item))
-    return ranked(corpus, scored, limit).withColumn("reference", F.element_at(label, F.col("source_id")))
+    return ranked(corpus, scored, limit, few=True).withColumn("reference", F.element_at(label, F.col("source_id")))
 
 
 def candidates(corpus: Corpus, reference: refs.Reference, level: str = "exact_spelling") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs, text
 from ..plans.config import MOST, within
+from ..plans.storage import staged
 from ..sources.corpus import REFERENCE, Corpus
 from . import search
 from .related import related
@@ -49,14 +50,14 @@ def candidate_mates(corpus: Corpus, reference: refs.Reference, limit: int = 20)
     return rows.join(corpus.verses.select("id", "display_text"), "id")
 
 
-def divide_term(corpus: Corpus, term: str, examples: int = 3) -> DataFrame:
+def divide_term(corpus: Corpus, term: str, examples: int = 3, verses: int | None = MOST) -> DataFrame:
     """(book, book_order, verse_count, occurrence_count, examples, total_verses, total_occurrences, truncated).
 
-    Groups are of the first 500 verses with the word, totals of all. An example has its label, its
-    positions, and the three tokens on either side of the first.
+    Groups are of the first `verses` verses with the word (None: of all), totals of all. An example has
+    its label, its positions, and the three tokens on either side of the first.
     """
     within("examples", examples, 1, 10)
-    found = search.exact_word(corpus, term, limit=MOST)
+    found = search.exact_word(corpus, term, limit=verses)
     rank = F.row_number().over(Window.partitionBy("book").orderBy("id"))
     at = F.get("positions", F.lit(0))
     surfaces = text.surfaces(F.col("display_text"), corpus.pattern)
@@ -69,7 +70,7 @@ def divide_term(corpus: Corpus, term: str, examples: int = 3) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(shown)), lambda x: x.dropFields("id")).alias("examples"),
         F.first("total").alias("total_verses"),
         F.first("total_occurrences").alias("total_occurrences"),
-        (F.first("total") > MOST).alias("truncated"),
+        (F.first("total") > verses if verses else F.lit(False)).alias("truncated"),
     )
 
 
@@ -105,7 +106,8 @@ def evidence_graph(corpus: Corpus, reference: refs.Reference, results: int = 12,
     source = corpus.verse(reference)
     name = source.label
     allowed = min(results, nodes - 1)
-    ranked = related(corpus, reference, MOST).withColumn("evidence_types", evidence_types())
+    # one more than is shown tells whether there are more
+    ranked = staged(related(corpus, reference, allowed + 1).withColumn("evidence_types", evidence_types()))
     top = ranked.where(F.col("rank") <= allowed)
     room = F.least(F.lit(terms), F.lit(nodes - 1) - F.col("n_results"))
     every_term = graph_terms(corpus, top)

@@ -256,11 +256,12 @@ select position, fragment, count(distinct folded) as words from (select * from f
 
 
 def every() -> dict[str, tuple[Query, str | None]]:
-    from . import form_queries, second_queries, source_queries, stream_queries, study, whole_queries
+    from . import form_queries, measure_sql, second_queries, source_queries, stream_queries, study, whole_queries
 
     family = {"word_family": (second_queries.SECOND["word_family"][0], form_queries.WORD_FAMILY)}
+    measures = {"second_measures": (second_queries.second_measures, measure_sql.MEASURES)}
     lines = {"canonical_json": (study.STUDY["canonical_json"][0], source_queries.CANONICAL_SQL)}
-    return BASIC | study.STUDY | lines | second_queries.SECOND | family | form_queries.FORMS | source_queries.SOURCES | stream_queries.STREAMS | whole_queries.WHOLE
+    return BASIC | study.STUDY | lines | second_queries.SECOND | family | measures | form_queries.FORMS | source_queries.SOURCES | stream_queries.STREAMS | whole_queries.WHOLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,20 @@ def _family(s: second.Second, _) -> DataFrame:
     return s.word_family(WORD)
 
 
+def _measured(s: second.Second, reference) -> DataFrame:
+    """What a verse and every other that shares a word with it tell by themselves."""
+    source = s.verse(reference)
+    rows = s.features.where((F.col("id") != source.id) & F.arrays_overlap("folded", F.lit(sorted(set(source.folded)))))
+    names = ("ordered_coverage", "relative_position", "pair_direction", "gap_agreement", "continuity")
+    return s.measure(rows, source).select(
+        "label", "jaccard", "phrase", "phrase_variant", *(F.element_at("order_measurements", n).alias(n) for n in names), "ordering", "capitalization",
+        "phrase_count", "variant_count", "identity_score",
+    )
+
+
+second_measures = at(_measured)
+
+
 def _related(s: second.Second, reference) -> DataFrame:
     return s.related(reference).select(
         "rank", "label", "score", "textual", "proximity", "jaccard", "phrase", "phrase_variant", "rarity", "ordering", "capitalization", "morphology_score", "letter_score", "reasons"
