@@ -164,7 +164,7 @@ def shared_runs(records: DataFrame, least: int = 12, gram: int = GRAM) -> DataFr
     distinct. least is at least gram. Equal lists are one class while runs are searched, so copies
     cost nothing there; at the end runs between classes are joined with their members.
     """
-    keyed = text_classes(records)
+    keyed = staged(text_classes(records))  # read by every join below
     runs = class_runs(keyed, least, gram)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.size("terms")).alias("n"))
     twins = sizes.where((F.col("copies") > 1) & (F.col("n") >= least)).select(

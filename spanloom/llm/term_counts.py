@@ -13,6 +13,8 @@ from .distinctive import CURRENT_SQL
 
 #: A trie's container bursts into containers of the next character beyond so many terms.
 CONTAINER = 1024
+#: Distinct terms that a task's tries hold; beyond, their leaves leave and new tries are begun.
+HELD = 1 << 19
 #: Subtrees a partition: routing prefixes are lengthened until no subtree holds more than this share.
 SUBTREES = 8
 
@@ -30,6 +32,7 @@ class BurstTrie:
         self.capacity = capacity
         self.root: dict = {}  # a container: its keys are suffixes, its values [tf, df]
         self.inner: set[int] = set()  # ids of the dicts that are inner nodes
+        self.terms = 0
 
     def add(self, term: str, tf: int, df: int) -> None:
         node, parent, depth = self.root, None, 0
@@ -48,6 +51,7 @@ class BurstTrie:
             entry[1] += df
             return
         node[suffix] = [tf, df]
+        self.terms += 1
         if len(node) > self.capacity:
             self._burst(node)
 
@@ -88,9 +92,10 @@ def _leaf_batch(version: int | None, trie: BurstTrie) -> Iterator[pa.RecordBatch
         )
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
     """Rows (version, terms) to the leaves of one trie a version; the terms of a batch are counted
-    by code first, so that the trie is walked once a distinct term of the batch."""
+    by code first, so that the trie is walked once a distinct term of the batch. A full trie's leaves
+    leave; a term can come in several, which merge later."""
     import numpy as np
 
     tries: dict[int | None, BurstTrie] = {}
@@ -114,6 +119,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             there = np.flatnonzero(df)
             for c, t, d in zip(there.tolist(), tf[there].tolist(), df[there].tolist()):
                 trie.add(names[c], t, d)
+        if sum(trie.terms for trie in tries.values()) > held:
+            for version, trie in tries.items():
+                yield from _leaf_batch(version, trie)
+            tries = {}
     for version, trie in tries.items():
         yield from _leaf_batch(version, trie)
 
@@ -233,6 +242,7 @@ def marked_counts(verses: DataFrame) -> DataFrame:
     histogram of df, which has few distinct values.
     """
     version = F.col("corpus_version_id")
+    verses = staged(verses.select("corpus_version_id", "terms"))  # read twice
     n = verses.groupBy(version.alias("version_n")).agg(F.count(F.lit(1)).alias("n"))
     counts = staged(term_counts(verses.select(version.alias("version"), "terms")))
     histogram = counts.groupBy("version", "df").agg(F.count(F.lit(1)).alias("k"))

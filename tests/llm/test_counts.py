@@ -129,3 +129,31 @@ def test_best_targets(spark):
     for r in topn.best_targets(df, books, 5).orderBy("query_reference").collect():
         got.setdefault(r.query_reference, set()).add(r.target_reference)
     assert got == {"q": {"Baker 1:2", "1 Able 2:9", "1 Able 2:10", "1 Able 10:1", "Baker 1:1"}, "r": {"Baker 1:1"}}
+
+
+def test_full_tries_leave():
+    """However few terms a task holds, the leaves that leave add up to all counts."""
+    import pyarrow as pa
+
+    from spanloom.llm import term_counts
+
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2]), [f"t{rng.randrange(300)}" for _ in range(rng.randint(0, 20))]) for _ in range(400)]
+    batches = [
+        pa.record_batch([pa.array([v for v, _ in part], pa.int32()), pa.array([t for _, t in part], pa.list_(pa.string()))], names=["version", "terms"])
+        for part in (rows[k : k + 40] for k in range(0, 400, 40))
+    ]
+    want: dict = {}
+    for v, terms in rows:
+        for t in terms:
+            want.setdefault((v, t), [0, 0])[0] += 1
+        for t in set(terms):
+            want[v, t][1] += 1
+    for held in (10, 1 << 19):
+        got: dict = {}
+        for leaf in (r for b in term_counts._count(iter(batches), held) for r in b.to_pylist()):
+            for term, tf, df in zip(leaf["terms"], leaf["tf"], leaf["df"]):
+                entry = got.setdefault((leaf["version"], leaf["prefix"] + term), [0, 0])
+                entry[0] += tf
+                entry[1] += df
+        assert got == want
