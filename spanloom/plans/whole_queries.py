@@ -15,7 +15,7 @@ from ..functions import text
 from ..operators import many, search, second, statistics
 from ..sources import ingest
 from ..sources.corpus import REFERENCE, Corpus
-from . import pair_sql, registry, second_queries, study
+from . import pair_sql, registry, second_queries, source_queries, study
 from .registry import VERSION, Query, corpus, current_rows, sql, table
 from .second_queries import LETTERS, sql2
 
@@ -197,7 +197,7 @@ def _tables() -> dict[str, tuple[Query, str | None]]:
         "import_counts": of_versions(lambda spark, sf_dir, c, v: ingest.counts(rows(spark, sf_dir, v).select("book_order", "chapter", "italics", "paratext"))),
         "canonical_json": of_versions(lambda spark, sf_dir, c, v: ingest.canonical_json(rows(spark, sf_dir, v)).select("value")),
     }
-    single = registry.BASIC | study.STUDY | second_queries.SECOND
+    single = registry.BASIC | study.STUDY | second_queries.SECOND | {"canonical_json": (None, source_queries.CANONICAL_SQL)}
     return {f"{name}_of_versions": (q, (s := single[name][1]) and sql_of_versions(s)) for name, q in found.items()}
 
 
