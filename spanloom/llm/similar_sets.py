@@ -9,11 +9,17 @@ the segment of one, whole or less one item, equals the whole segment of the othe
 therefore a group key, whole and with each one of its items deleted.
 
 A key that many records share (a segment that is empty, or holds only very common items) is hot.
-Its group isn't enumerated: each record joins its hot keys two by two, of different segments, into
-new keys. A pair with a key that isn't hot is found by that one, and any other has two hot keys in
-different segments. What is large even then is split again by another hash of the items, within the
-group: its pairs agree in two of the new segments as well. After LEVELS such levels groups that are
-still large are cut into parts, and every two parts are a task of bounded size.
+Its group isn't enumerated: each record joins each of its hot keys with each of its rarest items. Of s
+items these are the s - ceil(s t) + 1 first in an order that is the same everywhere: two sets with
+similarity t share one of them, the first in that order of all that they share. The more records there
+are, the more keys are hot and the larger two hot keys' group is; a rare item's stays small. The order
+is that of counts in a sample, which any other order could replace.
+
+What is large even then is split again by another hash of the items, within the group: its pairs agree
+in two of the new segments as well. There hot keys are joined two by two, of different segments, as the
+rarest items may be what the group shares: a pair with a key that isn't hot is found by that one, and
+any other has two hot keys in different segments. After LEVELS such levels groups that are still large
+are cut into parts, and every two parts are a task of bounded size.
 
 No task gets a hot key's entries: where a block of records has many of them, they go to their
 records at once, or to the next level, and only a mark that the key is hot goes to the key's task.
@@ -40,6 +46,10 @@ from .distinctive import CURRENT_SQL
 #: A group of more entries is hot in the first round; one of more in the second is split anew.
 #: Entries of one key in a block of records beyond which it is taken for such without being counted.
 HOT, LARGE, MANY = 96, 4096, 24
+#: Records in the sample that items are ordered by, and items whose counts in it are told to tasks.
+SAMPLE, LISTED = 50_000, 1 << 16
+#: An item in more than one of OFTEN records of the sample has its groups spread over all buckets; those of a rarer one share a bucket.
+OFTEN = 1000
 #: How often groups are split anew before they are cut into parts.
 LEVELS = 2
 #: Buckets a partition: a task holds one at a time, in the compact form in which it is shuffled.
@@ -48,7 +58,8 @@ BUCKETS = 4
 BLOCK = 1 << 20
 #: The blocks that are shuffled: 32 bits of the key (the bucket has the others), and for each entry
 #: twice the place of its record in the block's table of records, plus 1 if an item is deleted; and
-#: the keys of the bucket that are known to be hot.
+#: the keys of the bucket that are known to be hot. Blocks by record have whole keys and no such marks;
+#: those of rarest items have no keys, and 32 bits of each item for marks.
 BLOCKS = "bucket int, keys binary, refs binary, ids binary, sketches binary, sizes binary, marks binary"
 #: A pair, or a record and the group that it is to be split in, or a block.
 FOUND = f"id_a bigint, id_b bigint, `group` bigint, {BLOCKS}"
@@ -132,31 +143,51 @@ def _signed(t: float, level: int):
     return run
 
 
-def _write(key, ref, ids, sketch, size, buckets: int, marks=None) -> Iterator[tuple]:
+def _write(key, ref, ids, sketch, size, buckets: int, marks=None) -> pa.RecordBatch:
     """Entries in a block a bucket; only the records that a block names are in its table."""
     import numpy as np
 
     split = lambda k: ((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    bucket = split(key)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    # the bucket has the remainder of the upper half, the block the quotient's and lower half's bits mixed
     marks = np.zeros(0, np.uint64) if marks is None else marks
-    of_mark = split(marks)
-    for b in range(buckets):
-        mine = order[(ends[b - 1] if b else 0) : ends[b]]
-        hot = marks[of_mark == b]
-        if len(mine) or len(hot):
-            used, place = np.unique(ref[mine] >> 1, return_inverse=True)
-            yield (
-                b,
-                # the bucket has the remainder of the upper half, the block the quotient's and lower half's bits mixed
-                _lower_half(key[mine]).tobytes(),
-                (place << 1 | ref[mine] & 1).astype(np.uint32).tobytes(),
-                ids[used].tobytes(),
-                sketch[used].tobytes(),
-                size[used].astype(np.int32).tobytes(),
-                _lower_half(hot).tobytes(),
-            )
+    return _blocks(split(key), _lower_half(key), ref, ids, sketch, size, buckets, split(marks), _lower_half(marks))
+
+
+def _blocks(bucket, key, ref, ids, sketch, size, buckets: int, of_mark=None, marks=None) -> pa.RecordBatch:
+    """A row a bucket that has entries or marks, made without a loop over buckets: there are more of them the larger the input."""
+    import numpy as np
+
+    code = bucket * len(ids) + (ref >> 1)
+    order = np.argsort(code, kind="stable")
+    code, bucket, ref = code[order], bucket[order], ref[order]
+    new = np.append(True, code[1:] != code[:-1])[: len(code)]
+    used = ref[new] >> 1
+    in_table = np.bincount(bucket[new], minlength=buckets)
+    place = np.cumsum(new) - 1 - (np.cumsum(in_table) - in_table)[bucket]
+    entries = np.bincount(bucket, minlength=buckets)
+    if marks is None:
+        of_mark, marks = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    marked = np.bincount(of_mark, minlength=buckets)
+    columns = [
+        (key[order], entries),
+        ((place << 1 | ref & 1).astype(np.uint32), entries),
+        (ids[used], in_table),
+        (sketch[used], in_table),
+        (size[used].astype(np.int32), in_table),
+        (marks[np.argsort(of_mark, kind="stable")], marked),
+    ]
+    return _rows(np.flatnonzero(entries + marked), columns)
+
+
+def _rows(names, columns) -> pa.RecordBatch:
+    """Rows of the buckets of these names; columns: values in the order of buckets, and how many each bucket has."""
+    import numpy as np
+
+    made = [pa.array(names.astype(np.int32))]
+    for values, counts in columns:
+        ends = np.append(0, np.cumsum(counts[names]) * values.itemsize).astype(np.int32)
+        made.append(pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]))
+    return pa.record_batch(made, names=_BLOCK_NAMES)
 
 
 def _lower_half(key):
@@ -195,14 +226,8 @@ _BLOCK_NAMES = ["bucket", "keys", "refs", "ids", "sketches", "sizes", "marks"]
 _FOUND_NAMES = ["id_a", "id_b", "group", *_BLOCK_NAMES]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[]] * len(_BLOCK_NAMES)
-    return pa.record_batch([pa.array(c, pa.int32() if n == "bucket" else pa.binary()) for n, c in zip(_BLOCK_NAMES, columns)], names=_BLOCK_NAMES)
-
-
-def _found_blocks(rows: list[tuple]) -> pa.RecordBatch:
-    blocks = _batch(rows)
-    return pa.record_batch([pa.nulls(len(rows), pa.int64())] * 3 + blocks.columns, names=_FOUND_NAMES)
+def _found_blocks(blocks: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.record_batch([pa.nulls(len(blocks), pa.int64())] * 3 + blocks.columns, names=_FOUND_NAMES)
 
 
 def _no_blocks(a, b, group) -> pa.RecordBatch:
@@ -230,8 +255,11 @@ def _many(key, most: int):
     return names[counts > most], (counts > most)[place]
 
 
-def _first(t: float, level: int, buckets: int, hot: bool, many: int):
-    """(id, group, items) rows to blocks of the first round: of hot entries by record, or of the others by key."""
+def _first(t: float, level: int, buckets: int, hot: bool, many: int, common=None):
+    """(id, group, items) rows to blocks of the first round: of hot entries by record, or of the others by key.
+
+    With common, what _common gives, records' rarest items come out beside the hot entries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -250,13 +278,63 @@ def _first(t: float, level: int, buckets: int, hot: bool, many: int):
                 key, record, deleted = key[keep], record[keep], deleted[keep]
                 if hot:
                     whole = _whole(_lower_half(key), 0) | (key >> np.uint64(32)) % np.uint64(buckets)
-                    yield _batch(list(_hot_blocks(whole, record, deleted, ids[lo:hi], sketch, part, buckets)))
+                    yield _hot_blocks(whole, record, deleted, ids[lo:hi], sketch, part, buckets)
+                    if common:
+                        yield _rarest(t, ids[lo:hi], part, items[upto : upto + int(part.sum())], sketch, common, buckets)
                 else:
-                    yield _batch(list(_write(key, record << 1 | deleted, ids[lo:hi], sketch, part, buckets, marks)))
+                    yield _write(key, record << 1 | deleted, ids[lo:hi], sketch, part, buckets, marks)
 
     return run
 
 
+def _common(records: DataFrame):
+    """(items, counts, often): the items that stand more than once in a sample of the records, ascending, the most
+    frequent LISTED at most; often has the 32 bits of those in more than one of OFTEN records, ascending."""
+    import numpy as np
+
+    total = records.count()
+    step = total // SAMPLE + 1
+    sample = records.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select(F.explode("items").alias("item"))
+    counted = sample.groupBy("item").count().where("count > 1").orderBy(F.desc("count"), "item").limit(LISTED).toArrow()
+    items, counts = (counted[c].to_numpy() for c in ("item", "count"))
+    order = np.argsort(items)
+    often = np.sort(_lower_half(mix(items[counts * OFTEN > total // step])))
+    return items[order], counts[order].astype(np.int32), often
+
+
+def _prefix(sizes, t: float):
+    """How many of a set's rarest items there are of which it shares one with any similar set."""
+    import numpy as np
+
+    return sizes - np.ceil(sizes * t - 1e-9).astype(np.int64) + 1
+
+
+def _rarest(t: float, ids, sizes, items, sketch, common, buckets: int) -> pa.RecordBatch:
+    """The rarest items of records, in blocks by record."""
+    import numpy as np
+
+    listed, counts, _ = common
+    bucket = (mix(ids) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    row = np.empty(len(ids), np.int64)
+    row[order] = np.arange(len(ids))
+    count = np.zeros(len(items), np.int32)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, items), len(listed) - 1)
+        count = np.where(listed[at] == items, counts[at], 0)
+    h = mix(items)
+    by = np.lexsort((h, count, np.repeat(row, sizes)))
+    first, per = _prefix(sizes[order], t), np.bincount(bucket, minlength=buckets)
+    rarest = _lower_half(h[by][_within(sizes[order]) < np.repeat(first, sizes[order])])
+    none = np.zeros(buckets, np.int64)
+    marks = np.bincount(bucket[order], weights=first, minlength=buckets).astype(np.int64)
+    nothing = np.zeros(0, np.uint32)
+    return _rows(
+        np.flatnonzero(per),
+        [(nothing, none), (nothing, none), (ids[order], per), (sketch[order], per), (sizes[order].astype(np.int32), per), (rarest, marks)],
+    )
+
+
 def _chunks(sizes):
     """Ranges of rows of about BLOCK / 8 items each."""
     import numpy as np
@@ -298,7 +376,8 @@ def _matched(t: float, buckets: int, hot: int | None = None, large: int | None =
             bucket = rows[0]["bucket"]
             if not len(key):
                 continue
-            order = np.argsort(key, kind="stable")
+            # whole entries come first in each group: those with an item deleted needn't meet each other
+            order = np.argsort(key << np.uint64(1) | deleted, kind="stable")
             k = key[order]
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             lengths = np.diff(np.append(starts, len(k)))
@@ -310,7 +389,7 @@ def _matched(t: float, buckets: int, hot: int | None = None, large: int | None =
                 if not len(mine):
                     pass
                 elif hot:
-                    yield _found_blocks(list(_hot_blocks(_whole(key[mine], bucket), record[mine], deleted[mine], ids, sketch, size, buckets)))
+                    yield _found_blocks(_hot_blocks(_whole(key[mine], bucket), record[mine], deleted[mine], ids, sketch, size, buckets))
                 elif not cut:
                     yield _members(ids[record[mine]], mix(_whole(key[mine], bucket)))
                 else:
@@ -318,11 +397,12 @@ def _matched(t: float, buckets: int, hot: int | None = None, large: int | None =
                         group = order[starts[g] : starts[g] + lengths[g]]
                         for part in _part_pairs(group, ids[record[group]], _whole(key[group[:1]], bucket)[0], large):
                             entries = record[part[1]] << 1 | deleted[part[1]]
-                            yield _found_blocks(list(_write(part[0], entries, ids, sketch, size, buckets)))
-            for i, j in _ragged_pairs(starts[many], lengths[many], BLOCK):
-                a, b = order[i], order[j]
-                keep = ~(deleted[a] & deleted[b])
-                a, b = record[a[keep]], record[b[keep]]
+                            yield _found_blocks(_write(part[0], entries, ids, sketch, size, buckets))
+            left = np.repeat(starts[many], lengths[many]) + _within(lengths[many])
+            after = np.repeat(starts[many] + lengths[many], lengths[many]) - left - 1
+            left, after = (x[~deleted[order[left]]] for x in (left, after))
+            for i, j in _expand(left, left + 1, after, BLOCK):
+                a, b = record[order[i]], record[order[j]]
                 apart = np.bitwise_count(sketch[a] ^ sketch[b]).astype(np.int64)
                 small, large_ = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
                 keep = (ids[a] != ids[b]) & (small >= large_ * t - 1e-9) & (apart <= differ(small, large_, t))
@@ -350,30 +430,18 @@ def _part_pairs(group, ids, key, large: int):
                 yield np.repeat(mix(mix(np.array([key], np.uint64)) + np.uint64(x * n + y)), len(both)), both
 
 
-def _hot_blocks(key, record, deleted, ids, sketch, size, buckets: int):
+def _hot_blocks(key, record, deleted, ids, sketch, size, buckets: int) -> pa.RecordBatch:
     """Hot entries in blocks by record: the whole key takes two columns of the table's form."""
     import numpy as np
 
     bucket = (mix(ids[record]) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-    for b in range(buckets):
-        mine = order[(ends[b - 1] if b else 0) : ends[b]]
-        if len(mine):
-            used, place = np.unique(record[mine], return_inverse=True)
-            yield (
-                b,
-                key[mine].tobytes(),
-                (place << 1 | deleted[mine]).astype(np.uint32).tobytes(),
-                ids[used].tobytes(),
-                sketch[used].tobytes(),
-                size[used].astype(np.int32).tobytes(),
-                b"",
-            )
-
-
-def _second(buckets: int, many: int):
-    """Blocks of hot entries by record to blocks of the second round, whose keys are two hot keys.
+    return _blocks(bucket, key, record << 1 | deleted, ids, sketch, size, buckets)
+
+
+def _second(t: float, buckets: int, many: int, often=None):
+    """Blocks of hot entries by record to blocks of the second round, whose keys are two hot keys, or one and a rare item.
+
+    The latter with often, what _common gives.
 
     Keys that many records of a bucket have are marked and left out; their records come out instead,
     with the group that they are to be split in. A hot key carries no segment: keys of one segment of a
@@ -397,20 +465,49 @@ def _second(buckets: int, many: int):
             record, key, deleted = record[order], key[order], deleted[order]
             starts = np.flatnonzero(np.concatenate(([True], record[1:] != record[:-1])))
             lengths = np.diff(np.append(starts, len(record)))
-            for i, j in _ragged_pairs(starts, lengths, BLOCK):
-                both = mix(mix(key[i]) + key[j])
-                # the pair's entry is marked deleted only where both are: two such never need to meet
-                mark = deleted[i] & deleted[j]
+            two = _two_by_two(starts, lengths, key, deleted) if often is None else _with_rarest(t, rows, ids, size, record, key, deleted, often)
+            for i, both, mark in two:
                 marks, is_large = _many(both, many)
                 if len(marks):
                     group = _whole(_lower_half(both[is_large]), 0) | (both[is_large] >> np.uint64(32)) % np.uint64(buckets)
                     yield _members(ids[record[i][is_large]], mix(group))
                 keep = ~is_large
-                yield _found_blocks(list(_write(both[keep], record[i][keep] << 1 | mark[keep], ids, sketch, size, buckets, marks)))
+                yield _found_blocks(_write(both[keep], record[i][keep] << 1 | mark[keep], ids, sketch, size, buckets, marks))
 
     return run
 
 
+def _two_by_two(starts, lengths, key, deleted):
+    """(entry, key, deleted) for every two hot entries of a record.
+
+    One is marked deleted only where both are: two such never need to meet.
+    """
+    for i, j in _ragged_pairs(starts, lengths, BLOCK):
+        yield i, mix(mix(key[i]) + key[j]), deleted[i] & deleted[j]
+
+
+def _with_rarest(t: float, rows: list[dict], ids, size, record, key, deleted, often):
+    """(entry, key, deleted) for every hot entry and each of its record's rarest items.
+
+    Unless an item is met often its keys' upper half, which has the bucket, is of the item alone: a record
+    then is in as many blocks as it has rarest items, not hot keys times those.
+    """
+    import numpy as np
+
+    told = [r for r in rows if r["marks"]]
+    items = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r["marks"], np.uint32) for r in told)]).astype(np.uint64)
+    of = np.searchsorted(ids, np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["ids"], np.int64) for r in told)]))
+    counts = _prefix(size.astype(np.int64), t)
+    begin = np.zeros(len(ids), np.int64)
+    begin[of] = np.cumsum(counts[of]) - counts[of]
+    for i, x in _expand(np.arange(len(record)), begin[record], counts[record], BLOCK):
+        both = mix(mix(key[i]) + items[x])
+        at = np.minimum(np.searchsorted(often, items[x]), max(0, len(often) - 1))
+        spread = often[at] == items[x] if len(often) else np.zeros(len(x), bool)
+        alone = mix(items[x]) >> np.uint64(32) << np.uint64(32) | both & np.uint64(0xFFFFFFFF)
+        yield i, np.where(spread, both, alone), deleted[i]
+
+
 def candidates(records: DataFrame, t: float) -> DataFrame:
     """(id_a, id_b), id_a < id_b: each pair of records (id, items) that can be similar, once.
 
@@ -427,12 +524,14 @@ def candidates(records: DataFrame, t: float) -> DataFrame:
     rows, pairs = records.select("id", F.lit(0).cast("bigint").alias("group"), "items"), []
     for level in range(LEVELS):
         last = level == LEVELS - 1
-        by_key, by_record = (rows.mapInArrow(_first(t, level, buckets, hot, MANY), BLOCKS) for hot in (False, True))
+        common = None if level else _common(records)
+        by_key = rows.mapInArrow(_first(t, level, buckets, False, MANY), BLOCKS)
+        by_record = rows.mapInArrow(_first(t, level, buckets, True, MANY, common), BLOCKS)
         found = staged(by_bucket(by_key).mapInArrow(_matched(t, buckets, hot=HOT), FOUND))
         hot = by_bucket(by_record.unionAll(found.where("bucket is not null").select(*_BLOCK_NAMES)))
         # at the last level nothing is marked: groups are cut where they are whole
         many = BLOCK * BLOCK if last else LARGE // 2
-        twice = hot.mapInArrow(_second(buckets, many), FOUND)
+        twice = hot.mapInArrow(_second(t, buckets, many, common and common[2]), FOUND)
         twice = twice if last else staged(twice)
         blocks = by_bucket(twice.where("bucket is not null").select(*_BLOCK_NAMES))
         again = staged(blocks.mapInArrow(_matched(t, buckets, large=LARGE, cut=last), FOUND))

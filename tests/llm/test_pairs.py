@@ -71,6 +71,45 @@ def test_a_key_of_a_hundred_thousand_entries():
     assert most <= similar_sets.MANY * len(by_key)
 
 
+def test_groups_of_the_second_round_stay_small_where_all_share_common_items():
+    """Verses have common words by the dozen: groups of two hot keys grow with the table, those of a hot key and a rare item don't."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n, buckets = np.random.default_rng(5), 3000, 8
+    pool = rng.integers(0, 1 << 62, 20)
+    sets = [np.concatenate((rng.permutation(pool)[:17], rng.integers(0, 1 << 62, 7))) for _ in range(n)]
+    sets.append(np.concatenate((sets[0][:-2], rng.integers(0, 1 << 62, 2))))  # 22 of 26 items are shared
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 24 * n + 25, 24), pa.int32()), pa.array(np.concatenate(sets)))
+    batch = pa.record_batch([pa.array(np.arange(n + 1)), pa.array(np.zeros(n + 1, np.int64)), lists], names=["id", "group", "items"])
+    common = np.sort(pool), np.full(20, n, np.int32), np.sort(similar_sets._lower_half(similar_sets.mix(pool)))
+
+    def by_bucket(blocks):
+        rows = [r for b in blocks for r in b.select(similar_sets._BLOCK_NAMES).to_pylist() if r["bucket"] is not None]
+        return [pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["bucket"]), schema=blocks[0].select(similar_sets._BLOCK_NAMES).schema)]
+
+    by_key, by_record = (list(similar_sets._first(0.75, 0, buckets, hot, 24, common)([batch])) for hot in (False, True))
+    found = list(similar_sets._matched(0.75, buckets, hot=96)(by_bucket(by_key)))
+    told = by_bucket([*by_record, *(b.select(similar_sets._BLOCK_NAMES) for b in found)])
+    twice = list(similar_sets._second(0.75, buckets, 2048, common[2])(told))
+    again = list(similar_sets._matched(0.75, buckets, large=4096)(by_bucket(twice)))
+    groups = Counter()
+    for row in by_bucket(twice)[0].to_pylist():
+        groups.update((row["bucket"], k) for k in np.frombuffer(row["keys"], np.uint32).tolist())
+    assert len(groups) > 10 * n and max(groups.values()) <= 24
+    pairs = {(r["id_a"], r["id_b"]) for b in [*found, *again] for r in b.to_pylist() if r["id_b"] is not None}
+    assert (0, n) in pairs
+
+
+@pytest.mark.parametrize("sample, listed, often", [(50, 1 << 16, 10), (50_000, 3, 1000), (1, 0, 1000)])
+def test_order_of_items_changes_no_pair(spark, monkeypatch, sample, listed, often):
+    for name, size in (("HOT", 3), ("MANY", 4), ("SAMPLE", sample), ("LISTED", listed), ("OFTEN", often)):
+        monkeypatch.setattr(similar_sets, name, size)
+    rows = sets_of(random.Random(11), 250, universe=60, most=20)
+    got = {(r.id_a, r.id_b) for r in similar_sets.similar_pairs(spark.createDataFrame(rows, RECORDS)).collect()}
+    assert got == brute_sets(rows, 0.75)
+
+
 def test_classes_with_links(spark):
     rows = sets_of(random.Random(8), 150, universe=15, most=6)
     links = Counter(x for pair in brute_sets(rows, 0.75) for x in pair)
