@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,26 @@ def test_survival_and_bounds(corpus):
     assert left == {n: sum(t >= n for t in times) for n in range(1, max(times) + 1)}
     bounds = {r.measure: r for r in statistics.corpus_bounds(corpus).collect()}
     assert bounds["verse_words"].least == 8 and bounds["corpus_frequency"].most == max(r.n for r in corpus.tokens.groupBy("folded").agg(F.count("*").alias("n")).collect())
+
+
+def test_spelled_phrases_are_found_by_a_scan(spark, corpus):
+    rows = [("Genesis", 1, 1, k + 1, t) for k, t in enumerate(["A river, and a RIVER, AND the sea.", "River; and", "rivers, and", "The river, and.", None, "Καὶ ὁ ΛΌΓΟΣ, καὶ"])]
+    c = make(spark, rows)
+    found = search.exact_phrase_spelled(c, "river, and")
+    assert sorted((r.id, r.start_positions) for r in found.collect()) == [(0, [1, 4]), (3, [1])]
+    assert [r.id for r in search.exact_phrase_spelled(c, "λόγος, καὶ").collect()] == [5]
+    # neither tokens nor verses meet in a join, one of whose sides the driver might have to hold
+    assert "Join" not in search.exact_phrase_spelled(corpus, "form, and void")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_are_written_when_they_are_asked_for(spark):
+    c = make(spark).prepared()
+    folder = c.path.removeprefix("file://")
+    assert search.exact_phrase_spelled(c, "form, and void").count() == 1
+    assert sorted(os.listdir(folder)) == ["verses"]
+    assert c.features.count() == 4
+    assert sorted(os.listdir(folder)) == ["features", "statistics", "verses"]
+    assert search.exact_word(c, "word").count() == 1 and c.tokens is c.tokens
+    assert sorted(os.listdir(folder)) == ["features", "statistics", "tokens", "verses"]
+    make(spark).write(f"{c.path}-whole")
+    assert sorted(os.listdir(f"{folder}-whole")) == ["features", "statistics", "tokens", "verses"]
