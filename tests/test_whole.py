@@ -15,7 +15,7 @@ from spanloom.plans.config import ScoringConfig
 SF = "/root/testdata/sf0.001"
 SCANS = ["every_phrase_runs"]
 #: Windows over what is left of a ranking are no joins.
-RANKED = ["every_lexical_witnesses", "every_related_many"]
+RANKED = ["every_lexical_witnesses", "every_related_many", "every_candidate_mates"]
 
 
 @pytest.mark.parametrize("name", SCANS)
