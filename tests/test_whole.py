@@ -31,6 +31,12 @@ def test_rankings_meet_nothing_again(spark, name):
     assert "MapInArrow" in plan and "Join" not in plan.split("MapInArrow")[0]
 
 
+def test_spelled_phrases_of_versions_read_verses_only(spark):
+    found = registry.queries()["exact_phrase_spelled_of_versions"](spark, SF)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.where("times < 1").count() == 0
+
+
 TEXTS = ["a b c a b c d", "", "b c a b", "a a a a", "a a", "d c b a", "x", "a b c d a b c d a b c", "c a b c", "q a b q b c"]
 
 
