@@ -13,7 +13,7 @@ from spanloom.plans import registry
 from spanloom.plans.config import ScoringConfig
 
 SF = "/root/testdata/sf0.001"
-SCANS = ["every_phrase_runs", "every_related_candidates", "every_related_rare", "every_match_level_letter_exact", "every_related_jaccard", "every_match_level_normalized"]
+SCANS = ["every_phrase_runs", "every_related_candidates", "every_related_rare", "every_match_level_letter_exact", "every_related_jaccard", "every_match_level_normalized", "every_weighted_dice"]
 #: Windows over what is left of a ranking are no joins.
 RANKED = ["every_lexical_witnesses", "every_related_many", "every_candidate_mates"]
 
