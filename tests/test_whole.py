@@ -15,7 +15,7 @@ from spanloom.plans.config import ScoringConfig
 SF = "/root/testdata/sf0.001"
 SCANS = ["every_phrase_runs", "every_related_candidates", "every_related_rare", "every_match_level_letter_exact", "every_related_jaccard", "every_match_level_normalized", "every_weighted_dice", "every_related_filtered"]
 #: Windows over what is left of a ranking are no joins.
-RANKED = ["every_lexical_witnesses", "every_related_many", "every_candidate_mates"]
+RANKED = ["every_lexical_witnesses", "every_related_many", "every_candidate_mates", "every_related_full"]
 
 
 @pytest.mark.parametrize("name", SCANS)
