@@ -37,6 +37,12 @@ def test_spelled_phrases_of_versions_read_verses_only(spark):
     assert found.where("times < 1").count() == 0
 
 
+def test_places_are_crossed_last(spark):
+    plan = registry.queries()["every_proximity_axes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert re.search(r"Join (Cross|Inner), NOT \(id", joins[0]) and "Window" not in plan.split(joins[0])[0]
+
+
 TEXTS = ["a b c a b c d", "", "b c a b", "a a a a", "a a", "d c b a", "x", "a b c d a b c d a b c", "c a b c", "q a b q b c"]
 
 
